@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
+SAMPLES = 32
 #: Samples of one row of generated code.
 AT_ONCE = 8
 #: Bits of a sample that stand in the fingerprint: two samples are mistaken for equal once in 65,536.
@@ -88,7 +88,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     """(part, lead_row, doc_id, text): rows dealt by ranges of ids, highest first, each range ending with a copy of the
     first row of the next one (lead_row false), the last with that of the first."""
     spark = docs.sparkSession
-    parts = min(RANGES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    parts = min(RANGES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 16))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     at = [i / parts for i in range(1, parts)]
     bounds = docs.agg(F.percentile_approx(order, at, parts * 20).alias("p")).first()["p"] or []
@@ -117,7 +117,8 @@ def fingerprint_with_next(df: DataFrame, text_col: str = "text", id_col: str = "
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # partitions small enough that the words of one fit in memory without a spill
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
     dealt = in_descending_order(docs).repartition(parts, "part")
     # the copies stand last in their range whatever their id
     line = Window.partitionBy("part").orderBy(F.desc("lead_row"), F.desc_nulls_last("doc_id"), "tie")
