@@ -42,6 +42,8 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, schema
 
 def write_table(df: DataFrame, path: str, format: str | None = None, partition_by: Iterable[str] = (), compression: str | None = None, rows_per_file: int = 0, mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode).format(format_of(path, format))
+    if format_of(path, format) == "csv":
+        writer = writer.option("header", "true")
     if compression:
         writer = writer.option("compression", compression)
     if rows_per_file:
