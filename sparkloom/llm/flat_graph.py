@@ -172,6 +172,8 @@ def links(nodes: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> D
         ids = f["node"].to_numpy()
         out = robust_prune(unit(f["v"]).astype(np.float32))
         a, d = np.nonzero(out >= 0)
+        if not len(a):
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "near": np.zeros(0, object)})
         b = out[a, d]
         # reversed edges make the graph undirected; each list stays bounded by its shard's in-degree
         return pd.DataFrame({"node": np.concatenate([ids[a], ids[b]]), "to": np.concatenate([ids[b], ids[a]])}).groupby("node")["to"].agg(lambda x: sorted(set(x))).rename("near").reset_index()
