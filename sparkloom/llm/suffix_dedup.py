@@ -39,7 +39,7 @@ PLACES = 128
 #: Window starts of a text that are worked on at once; anchors order by place within it.
 PIECE = 1 << 19
 #: Bytes of strings in one shard, in one merge, and in one task.
-SHARD_BYTES, MERGE_BYTES, TASK_BYTES = 1 << 18, 1 << 21, 6 << 20
+SHARD_BYTES, MERGE_BYTES, TASK_BYTES = 1 << 17, 1 << 20, 6 << 20
 BATCH_BYTES = 4 << 20
 
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -165,7 +165,8 @@ def _spans(windows: DataFrame, span: int, tasks: int) -> DataFrame:
     """(k1, k2, start, stop): bytes of texts that repeated windows cover; pieces may overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        held_batches = list(batches)
+        table = pa.Table.from_batches(held_batches) if held_batches else None
         if table is None or not table.num_rows:
             return
         ids = np.stack([table.column(i).to_numpy() for i in range(4)])
@@ -176,26 +177,36 @@ def _spans(windows: DataFrame, span: int, tasks: int) -> DataFrame:
         ids, order = ids[:, fresh], order[fresh]
         edge = np.flatnonzero(np.concatenate([[True], ids[0, 1:] != ids[0, :-1], [True]]))
         column = table.column(4).combine_chunks() if table.column(4).num_chunks != 1 else table.column(4).chunk(0)
-        strings, at, held = [], [], 0
+        # equal strings of a group become one with a count, as equal texts did; one string alone is repeated whole
+        alone, strings, weights, at, held = [], [], [], [], 0
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if z - a < 2:
                 continue
-            strings += column.take(pa.array(order[a:z])).to_pylist()
-            at += range(a, z)
-            held = sum(map(len, strings[-(z - a) :])) + held
+            own: dict[bytes, int] = {}
+            which = [own.setdefault(x, len(own)) for x in column.take(pa.array(order[a:z])).to_pylist()]
+            if len(own) == 1:
+                size = len(next(iter(own)))
+                alone.append(np.stack([*ids[1:, a:z], ids[3, a:z] + size]))
+                continue
+            at += [(i, len(strings) + k) for i, k in zip(range(a, z), which)]
+            strings += own
+            weights += np.bincount(which).tolist()
+            held += sum(map(len, own))
             if held >= MERGE_BYTES:
-                yield _found(ids, at, strings)
-                strings, at, held = [], [], 0
+                yield _found(ids, at, strings, weights)
+                strings, weights, at, held = [], [], [], 0
         if strings:
-            yield _found(ids, at, strings)
+            yield _found(ids, at, strings, weights)
+        if alone:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(alone, axis=1)], names=["k1", "k2", "start", "stop"])
 
-    def _found(ids: np.ndarray, at: list[int], strings: list[bytes]) -> pa.RecordBatch:
+    def _found(ids: np.ndarray, at: list[tuple[int, int]], strings: list[bytes], weights: list[int]) -> pa.RecordBatch:
         rows = []
-        for i, flags in zip(at, repeated_windows(strings, span)):
-            if flags.any():
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-                base = int(ids[3, i])
-                rows += [(int(ids[1, i]), int(ids[2, i]), base + int(x), base + int(y) - 1 + span) for x, y in turn.reshape(-1, 2)]
+        flags = repeated_windows(strings, span)
+        turns = [np.flatnonzero(np.diff(np.concatenate([[False], f | (w > 1), [False]]).astype(np.int8))).reshape(-1, 2).tolist() for f, w in zip(flags, weights)]
+        for i, k in at:
+            k1, k2, base = ids[1:, i].tolist()
+            rows += [(k1, k2, base + x, base + y - 1 + span) for x, y in turns[k]]
         cols = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "start", "stop"])
 
