@@ -15,6 +15,7 @@ import contextlib
 import functools
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,11 +81,15 @@ class Codec:
         self.after_space: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _ids(self, match: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(as_chars(match.encode()))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def word(self, match: str) -> bytes:
         """Ids of one pattern match, as little-endian unsigned 32-bit integers."""
         found = self.words.get(match)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize(as_chars(match.encode()))], dtype="<u4").tobytes()
+            found = self._ids(match)
             if len(match) <= CACHED_LENGTH:
                 if len(self.words) >= CACHE_PIECES // 4:
                     self.words = {}
@@ -93,7 +98,14 @@ class Codec:
 
     def piece(self, text: str) -> bytes:
         """Ids of a space and ``text``, which starts with no white space."""
-        found = b"".join(map(self.word, self.matches(" " + text)))
+        if m := _PLAIN(text):
+            # letters, then a mark or nothing: two matches at most, and the letters may be known without the mark
+            letters, mark = m.groups()
+            found = (mark and self.after_space.get(letters)) or self._ids(" " + letters)
+            if mark:
+                found += self.word(mark)
+        else:
+            found = b"".join(map(self.word, self.matches(" " + text)))
         if len(text) <= CACHED_LENGTH:
             if len(self.after_space) >= CACHE_PIECES:
                 self.after_space.clear()
@@ -137,6 +149,8 @@ class Codec:
 
 
 _KNOWN = set(ALPHABET)
+#: Latin letters that every version of Unicode calls letters, and common marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)").fullmatch
 #: A space before another white-space character: such texts are matched whole.
 _LOOSE = re.compile(r" (?:\s|$)").search
 
