@@ -62,7 +62,7 @@ def gram_hashes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h *= _M2
     h ^= h >> np.uint64(32)
     starts = ends - sizes
-    return h, np.stack([starts, np.maximum(starts, ends - NGRAM + 1)], axis=1)
+    return h, np.minimum(np.stack([starts, np.maximum(starts, ends - NGRAM + 1)], axis=1), len(h))  # the last rows may be too short for one
 
 
 _words = re.compile(r"[^\W\d_]+").findall
