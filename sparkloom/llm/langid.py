@@ -36,7 +36,8 @@ SHARE = 0.25
 SLOTS = 1 << 21
 HASHES = 3
 MAX_LANGUAGES = 64
-BATCH_BYTES = 2 << 20
+#: Arrays of a slice take about 60 bytes a character.
+BATCH_BYTES = 256 << 10
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
