@@ -31,17 +31,22 @@ SAMPLE_BITS = 16
 RANGES = 4096
 
 
-def signature(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sig array<long>) of (keys, term), one row for each occurrence; no exchange if the rows of a key lie together.
+def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
+    """(keys, sig_0, sig_1, ... array<long>) of (keys, kind int, term): the signatures of ``kinds`` texts of each key.
 
-    A row with a null term stands for a text without terms; its signature is all zeros. The samples are taken in sets
-    of ``AT_ONCE`` and each draw is a column of its own projection: generated code that is short enough for the JVM to
-    compile, with every logarithm taken once.
+    One row for each occurrence; no exchange if the rows of a key lie together. A term that several texts of a key share
+    is drawn for once, only its weights differ. A row with a null term stands for a text without terms; its signature
+    is all zeros. The samples are taken in sets of ``AT_ONCE // kinds`` and each draw is a column of its own projection:
+    generated code that is short enough for the JVM to compile, with every logarithm taken once.
     """
-    counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
-    hashed = counted.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), F.ln("weight").alias("lw"))
-    sets = hashed.select(*keys, "h", "lw", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, AT_ONCE)])).alias("first"))
-    each = range(AT_ONCE)
+    step = max(1, AT_ONCE // kinds)
+    each, texts = range(step), range(kinds)
+    counted = terms.groupBy(*keys, "term").agg(*[F.count_if(F.col("kind") == k).alias(f"w{k}") for k in texts])
+    # a text without the term (and the null term, which xxhash64 would pass over) has no logarithm, no sample and no part in the minimum
+    weights = [F.when(F.col("term").isNotNull() & (F.col(f"w{k}") > 0), F.ln(f"w{k}")).alias(f"lw{k}") for k in texts]
+    hashed = counted.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), *weights)
+    kept = [*keys, "h", *[f"lw{k}" for k in texts], "first"]
+    sets = hashed.select(*kept[:-1], F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, step)])).alias("first"))
 
     def uniform(x: str, bit: int, width: int):
         """A uniform draw from ``width`` bits, times 2^width."""
@@ -51,21 +56,26 @@ def signature(terms: DataFrame, keys: list[str]) -> DataFrame:
         # the sum of two exponential draws is the logarithm of a product; 13 bits a draw
         return F.lit(26 * math.log(2)) - F.ln(uniform(x, bit, 13) * uniform(x, bit + 13, 13))
 
-    x = sets.select(*keys, "h", "lw", "first", *[F.xxhash64("h", F.col("first") + F.lit(j)).alias(f"x{j}") for j in each])
-    drawn = x.select(*keys, "h", "lw", "first", *[c for j in each for c in (gamma(f"x{j}", 0).alias(f"r{j}"), F.ln(gamma(f"x{j}", 26)).alias(f"c{j}"), (F.shiftrightunsigned(f"x{j}", 52).cast("double") * F.lit(1 / 4096)).alias(f"b{j}"))])
-    timed = drawn.select(*keys, "h", "first", *[c for j in each for c in (f"r{j}", f"c{j}", f"b{j}", F.floor(F.col("lw") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}"))])
+    x = sets.select(*kept, *[F.xxhash64("h", F.col("first") + F.lit(j)).alias(f"x{j}") for j in each])
+    drawn = x.select(*kept, *[c for j in each for c in (gamma(f"x{j}", 0).alias(f"r{j}"), F.ln(gamma(f"x{j}", 26)).alias(f"c{j}"), (F.shiftrightunsigned(f"x{j}", 52).cast("double") * F.lit(1 / 4096)).alias(f"b{j}"))])
+    timed = drawn.select(*keys, "h", "first", *[c for j in each for c in (f"r{j}", f"c{j}", f"b{j}", *[F.floor(F.col(f"lw{k}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}_{k}") for k in texts])])
 
-    def packed(j: int):
-        value = F.col(f"c{j}") - F.col(f"r{j}") * (F.col(f"t{j}").cast("double") + F.lit(1.0) - F.col(f"b{j}"))
+    def packed(j: int, k: int):
+        value = F.col(f"c{j}") - F.col(f"r{j}") * (F.col(f"t{j}_{k}").cast("double") + F.lit(1.0) - F.col(f"b{j}"))
         # a positive fixed-point number, then the sample's name
-        name = F.xxhash64("h", f"t{j}").bitwiseAND(F.lit((1 << 24) - 1))
+        name = F.xxhash64("h", f"t{j}_{k}").bitwiseAND(F.lit((1 << 24) - 1))
         return F.shiftleft(((value + F.lit(2048.0)) * F.lit(float(1 << 26))).cast("long"), 24).bitwiseOR(name)
 
-    mins = timed.groupBy(*keys, "first").agg(*[F.min(packed(j)).alias(f"m{j}") for j in each])
+    mins = timed.groupBy(*keys, "first").agg(*[F.min(packed(j, k)).alias(f"m{j}_{k}") for k in texts for j in each])
     low = F.lit((1 << SAMPLE_BITS) - 1)
-    part = F.array(*[F.coalesce(F.col(f"m{j}").bitwiseAND(low), F.lit(0).cast("long")) for j in each])
-    parts = mins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", part.alias("part")))).alias("parts"))
-    return parts.select(*keys, F.flatten(F.transform("parts", lambda p: p["part"])).alias("sig"))
+    part = [F.array(*[F.coalesce(F.col(f"m{j}_{k}").bitwiseAND(low), F.lit(0).cast("long")) for j in each]).alias(f"p{k}") for k in texts]
+    parts = mins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", *part))).alias("parts"))
+    return parts.select(*keys, *[F.flatten(F.col("parts")[f"p{k}"]).alias(f"sig_{k}") for k in texts])
+
+
+def signature(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sig array<long>) of (keys, term): one text of each key, see ``signatures``."""
+    return signatures(terms.withColumn("kind", F.lit(0)), keys, 1).withColumnRenamed("sig_0", "sig")
 
 
 def likeness(a: str, b: str):
@@ -127,15 +137,14 @@ def fingerprint_with_next(df: DataFrame, text_col: str = "text", id_col: str = "
     rows = dealt.withColumn("tie", F.xxhash64("text")).withColumns({"nth": F.row_number().over(line), "next_text": F.lead("text").over(line)})
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     # the digest is taken before the words are spread, or it would be taken for each word
-    own, other = (F.struct(F.lit(k).alias("kind"), body.alias("body"), sha.alias("sha")) for k, body, sha in ((0, F.col("text"), F.lit(None).cast("binary")), (1, F.col("edited"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))))
+    sha = F.when(F.col("lead_row"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
+    own, other = (F.struct(F.lit(k).alias("kind"), F.col(body).alias("body")) for k, body in enumerate(("text", "edited")))
     bodies = F.when(F.col("lead_row"), F.array(own, other)).otherwise(F.array(own))
-    both = rows.select("part", "nth", "lead_row", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).select("part", "nth", "lead_row", "doc_id", "n_chars", F.explode(bodies).alias("b"))
-    keys = ["part", "nth", "lead_row", "doc_id", "n_chars", "kind", "sha"]
-    terms = both.select(*keys[:-2], "b.kind", "b.sha", terms_of("b.body").alias("term"))
-    signed = signature(terms, keys)
-    pair = signed.groupBy("part", "nth", "lead_row", "doc_id", "n_chars").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edited"), F.lower(F.hex(F.max("sha"))).alias("edited_sha256")
-    )
+    keys = ["part", "nth", "lead_row", "doc_id", "n_chars", "sha"]
+    made = rows.select("part", "nth", "lead_row", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = made.select(*keys[:-1], sha.alias("sha"), F.explode(bodies).alias("b"))
+    signed = signatures(both.select(*keys, "b.kind", terms_of("b.body").alias("term")), keys, 2)
+    pair = signed.select(*keys[:-1], F.lower(F.hex("sha")).alias("edited_sha256"), F.col("sig_0").alias("sig"), F.col("sig_1").alias("edited"))
     ahead = pair.withColumn("next_sig", F.lead("sig").over(Window.partitionBy("part").orderBy("nth"))).where("lead_row")
     return ahead.select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", as_hex("sig").alias("fingerprint"), as_hex("edited").alias("edited_fingerprint"), likeness("sig", "edited").alias("near_edited"), likeness("sig", "next_sig").alias("near_next")

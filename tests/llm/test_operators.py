@@ -135,6 +135,17 @@ def test_fingerprints(docs, empty):
     assert cws.fingerprint_with_next(empty).count() == 0
 
 
+def test_signatures_of_two_texts_equal_those_of_each_alone(spark):
+    texts = {(1, 0): "a b b c", (1, 1): "b c c d", (2, 0): None, (2, 1): "a a a", (3, 0): "x y", (4, 0): None, (4, 1): None}
+    rows = [(key, kind, term) for (key, kind), text in texts.items() for term in (text.split() if text else [None])]
+    terms = spark.createDataFrame(rows, "key int, kind int, term string")
+    both = {r["key"]: r for r in cws.signatures(terms, ["key"], 2).collect()}
+    for kind in (0, 1):
+        alone = {r["key"]: r["sig"] for r in cws.signature(terms.where(F.col("kind") == kind), ["key"]).collect()}
+        assert {k: r[f"sig_{kind}"] for k, r in both.items() if (k, kind) in texts} == alone
+    assert len(both[3]["sig_0"]) == cws.SAMPLES and not any(both[4]["sig_0"]) and not any(both[3]["sig_1"])
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     c = bpe.codec(packing.FILE)
