@@ -291,3 +291,11 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     kept = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {5, 6, 7} <= set(kept) and 4 not in kept and 3 not in kept and PASSAGE not in kept[6] and len(kept[6]) > 100
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_pipeline_packs_documents_without_text(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10), (2, "", "en", "s", 0), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["length"] for r in corpus_pipeline.best_fit_packing(spark, docs, "").collect()}
+    assert set(got) == {1, 2, 3} and got[2] == got[3] == 1 and got[1] > 1
