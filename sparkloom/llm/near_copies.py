@@ -1,0 +1,151 @@
+"""One document of each group of near-copies: exact Jaccard similarity of word shingles.
+
+Two texts are near-copies if the sets of their lower-cased ``WORDS``-word shingles have a Jaccard similarity of at least
+``SIMILARITY``; groups are the connected components of that relation.
+
+1. Texts with equal sets become one node. A node has ``BANDS`` keys, each the hash of ``ROWS`` minima of its set under fixed hash
+   functions (MinHash). A pair at the threshold shares no key with a probability of 2e-7, more alike pairs with less.
+2. Each key links its nodes with the least of them: as many rows as nodes, not pairs. The components of these links hold
+   every pair that shares a key.
+3. A component's texts meet in one task, which compares the exact sets of pairs that share a key, unless a chain of verified
+   pairs joins them already.
+4. Of each group the row with the least id stays (null ids last, then by a hash of the row, then any one of equal rows).
+
+SimHash cannot do this in 64 bits: a pair of similarity 0.8 differs by about 10 bits and often by 16, and segments of which one
+would be equal or nearly equal at that distance are shared by a fixed share of all pairs.
+
+Defined cases: null and empty texts have no shingles and are one group; fewer words than a shingle make one shingle; repeated rows
+are copies; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.llm.common import connected_components, slices, texts, write_shared
+from sparkloom.llm.simhash import SEED, shingle_hashes
+
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 40, 5
+BATCH_BYTES = 4 << 20
+#: Shingles whose minima are taken at once.
+AT_ONCE = 1 << 12
+
+_draw = np.random.default_rng(SEED)
+_ODD = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def keys(own: np.ndarray) -> list[int]:
+    """The band keys of a set of shingles; none of an empty set."""
+    if not len(own):
+        return []
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), AT_ONCE):
+        part = own[i : i + AT_ONCE, None] * _ODD + _ADD
+        np.minimum(least, part.min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (small + large - common)
+
+
+def verified(sets: list[np.ndarray], bands: list[list[int]], similarity: float = SIMILARITY) -> list[int]:
+    """For each set the least index of its group; pairs that share a key are compared unless they are in one group already."""
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    shared = defaultdict(list)
+    for i, own in enumerate(bands):
+        for k in own:
+            shared[k].append(i)
+    failed = set()
+    for members in shared.values():
+        groups: dict[int, list[int]] = {}
+        for i in members:
+            mine = [i]
+            # groups of this key, by their roots: a match joins the member's group with them
+            if (r := find(i)) in groups:
+                groups[r].append(i)
+                continue
+            for g in list(groups):
+                for j in groups[g]:
+                    if (j, i) in failed:
+                        continue
+                    if alike(sets[j], sets[i], similarity):
+                        mine += groups.pop(g)
+                        a, b = sorted((find(i), find(j)))
+                        root[b] = a
+                        break
+                    failed.add((j, i))
+            groups[find(i)] = mine
+    return [find(i) for i in range(len(sets))]
+
+
+def marked(df: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of ``df`` with uid (one for each row), node and keys; written, so that uids stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, BATCH_BYTES):
+            sets = [shingles(x, words) for x in texts(b, text_col)]
+            node = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64()), pa.array(map(keys, sets), pa.list_(pa.int64()))], names=[*b.schema.names, "node", "keys"])
+
+    out = T.StructType([*df.schema.fields, T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    rows = df.mapInArrow(run, out).withColumn("tie", F.xxhash64(*df.columns))
+    return write_shared(rows.withColumn("uid", F.monotonically_increasing_id()), "near-rows")
+
+
+def groups(rows: DataFrame, text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes of ``marked`` rows that share a key with another node; component is the group's least node."""
+    asked = rows.select("node", F.explode("keys").alias("key"))
+    least = asked.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
+    edges = asked.join(least, "key").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    near = connected_components(edges).withColumnRenamed("component", "candidates")
+    one = rows.groupBy("node").agg(F.min("uid").alias("uid")).join(near, "node").select("uid", "candidates")
+    members = rows.select("uid", "node", F.col(text_col).alias("text"), "keys").join(one, "uid")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node").reset_index(drop=True)
+        node = f["node"].to_numpy()
+        root = verified([shingles(x or "", words) for x in f["text"]], [list(k) for k in f["keys"]], similarity)
+        return pd.DataFrame({"node": node, "component": node[root]})
+
+    return members.groupBy("candidates").applyInPandas(run, "node long, component long")
+
+
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``df`` without all but one of each group of near-copies."""
+    rows = marked(df, text_col, words)
+    found = write_shared(groups(rows, text_col, words, similarity), "near-groups")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "tie", "uid")
+    placed = rows.select("node", order.alias("row")).groupBy("node").agg(F.min("row").alias("row")).join(found, "node", "left")
+    chosen = placed.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("row").alias("row")).select("row.uid")
+    gone = rows.select("uid").join(chosen, "uid", "left_anti")
+    return rows.join(gone, "uid", "left_anti").select(*df.columns)

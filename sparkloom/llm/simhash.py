@@ -40,11 +40,11 @@ BATCH_BYTES = 4 << 20
 BITS_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of a text's word shingles, in order."""
     parts = text.encode().lower().split()  # bytes: lower() maps A-Z only, split() cuts at 0x20 and 0x09-0x0D
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     starts = np.zeros(len(parts), np.int64)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -52,7 +52,15 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     n = max(1, len(parts) - words + 1)
     ends = (starts + sizes)[min(words, len(parts)) - 1 :][:n]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], np.uint64, n)
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], np.uint64, n)
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, n, BITS_AT_ONCE):
         part = hashes[i : i + BITS_AT_ONCE]
@@ -101,9 +109,3 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
     return marks.join(by_fp, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; rows with a null id stay."""
-    gone = near_duplicates(df, text_col, id_col, words).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id"))
-    return df.join(gone, df[id_col] == F.col("gone_id"), "left_anti")

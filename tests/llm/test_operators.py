@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, bwt, common, cws, flat_graph, html_blocks, html_main, langid, packing, queries, simhash, suffix_dedup, url_rules, warc
+from sparkloom.llm import bpe, bwt, common, cws, flat_graph, html_blocks, html_main, langid, near_copies, packing, queries, simhash, suffix_dedup, url_rules, warc
 
 rng = random.Random(5)
 WORDS = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
@@ -299,3 +299,35 @@ def test_pipeline_packs_documents_without_text(spark):
     docs = spark.createDataFrame([(1, "some words", "en", "s", 10), (2, "", "en", "s", 0), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["length"] for r in corpus_pipeline.best_fit_packing(spark, docs, "").collect()}
     assert set(got) == {1, 2, 3} and got[2] == got[3] == 1 and got[1] > 1
+
+
+def shingle_jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_stage_is_brute_force(spark):
+    import corpus_pipeline
+
+    base = [say(200) for _ in range(12)]
+    rows = list(enumerate(base))
+    for i, t in enumerate(base):
+        for share in (2, 3, 4, 5, 6):
+            words = t.split()
+            for k in rng.sample(range(200), share):
+                words[k] = "changed"
+            rows.append((100 + len(rows), " ".join(words)))
+    near = {a: {b for b, y in rows if shingle_jaccard(x, y) >= 0.8} for a, x in rows}
+    assert sum(map(len, near.values())) > 2 * len(rows)
+    want, seen = set(), set()
+    for i, _ in rows:
+        if i not in seen:
+            want.add(i)
+            todo = [i]
+            while todo:
+                if (k := todo.pop()) not in seen:
+                    seen.add(k)
+                    todo += near[k]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == want
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.where("false"), "").count() == 0
