@@ -331,3 +331,17 @@ def test_near_dedup_stage_is_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == want
     assert corpus_pipeline.simhash_near_dedup(spark, docs.where("false"), "").count() == 0
+
+
+def test_pipeline_keeps_one_of_repeated_and_null_id_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (say(200) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (3, b), (None, c), (None, c), (5, d), (5, a), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    near = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(r["text"] for r in near) == sorted([a, b, c, d])
+    assert {r["text"]: r["doc_id"] for r in near} == {a: 1, b: 2, c: None, d: 5}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == ["1", "2", "5", "None"] and all(r["length"] > 1 for r in packed)
