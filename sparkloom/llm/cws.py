@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples of one row of generated code.
 AT_ONCE = 8
 #: Bits of a sample that stand in the fingerprint: two samples are mistaken for equal once in 65,536.

@@ -345,3 +345,16 @@ def test_pipeline_keeps_one_of_repeated_and_null_id_rows(spark, tmp_path):
     assert {r["text"]: r["doc_id"] for r in near} == {a: 1, b: 2, c: None, d: 5}
     packed = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()
     assert sorted(str(r["doc_id"]) for r in packed) == ["1", "2", "5", "None"] and all(r["length"] > 1 for r in packed)
+
+
+def test_likeness_within_three_errors(docs):
+    assert cws.SAMPLES >= 64
+    got = {r["doc_id"]: r for r in cws.fingerprint_with_next(docs.where("doc_id <> 4")).collect()}
+    texts = {i: t or "" for i, t in enumerate(TEXTS) if i != 4}
+    order = sorted(texts, reverse=True)
+    for i, k in zip(order, order[1:] + order[:1]):
+        t, h = texts[i], len(texts[i]) // 2
+        assert len(got[i]["fingerprint"]) == cws.SAMPLES * cws.SAMPLE_BITS // 4
+        if t.split():
+            assert abs(got[i]["near_edited"] - jaccard(t, t[: len(t) - h] + texts[k][:h])) < 3 / (4 * cws.SAMPLES) ** 0.5
+            assert abs(got[i]["near_next"] - jaccard(t, texts[k])) < 3 / (4 * cws.SAMPLES) ** 0.5
