@@ -9,8 +9,10 @@ Training reads a bounded sample of labelled rows (``TRAIN_ROWS`` for each langua
 filter has one size whatever the corpus. A language contains an n-gram if its rate there is at least
 ``SHARE`` of the highest rate of any language.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row, or no known
-n-gram, the text is ``und`` with score 0; ties go to the language first by name; rows with a null language are not trained on; texts
+A text with a letter but no known n-gram is read by its known 3-grams, else 2-grams, else single letters (an exact table); where none
+is known either it gets the language with most labelled rows, with that language's share of them as its score.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row every text is ``und`` with score 0; ties go to the language first by name; rows with a null language are not trained on; texts
 of any length are read whole; an empty table gives an empty result; other columns are not read.
 """
 
@@ -35,6 +37,9 @@ GRAMS = 60_000
 SHARE = 0.25
 SLOTS = 1 << 21
 HASHES = 3
+#: Sizes of the n-grams that are read where no n-gram of NGRAM letters is known, in this order, and how many of a language are held.
+SHORT = (3, 2, 1)
+SHORT_GRAMS = 20_000
 MAX_LANGUAGES = 64
 #: Arrays of a slice take about 60 bytes a character.
 BATCH_BYTES = 256 << 10
@@ -44,26 +49,26 @@ _LETTER = re.compile(r"[^\W\d_]")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def gram_hashes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(rows: list[str], size: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased character n-grams of each row, and where each row's begin and end.
 
     A row is padded with a space at either end; runs of characters other than letters count as one space.
     """
     clean = [" ".join(_words(x)) for x in rows]
     joined = "".join(f" {x} " for x in clean)
-    sizes = np.array([len(x) + 2 for x in clean], np.int64)
-    ends = np.cumsum(sizes)
+    lengths = np.array([len(x) + 2 for x in clean], np.int64)
+    ends = np.cumsum(lengths)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(code) < NGRAM:
+    if len(code) < size:
         return np.zeros(0, np.uint64), np.zeros((len(rows), 2), np.int64)
-    h = np.zeros(len(code) - NGRAM + 1, np.uint64)
-    for i in range(NGRAM):
-        h = (h * _M1) + code[i : len(code) - NGRAM + 1 + i] + np.uint64(1)
+    h = np.zeros(len(code) - size + 1, np.uint64)
+    for i in range(size):
+        h = (h * _M1) + code[i : len(code) - size + 1 + i] + np.uint64(1)
     h ^= h >> np.uint64(29)
     h *= _M2
     h ^= h >> np.uint64(32)
-    starts = ends - sizes
-    return h, np.minimum(np.stack([starts, np.maximum(starts, ends - NGRAM + 1)], axis=1), len(h))  # the last rows may be too short for one
+    starts = ends - lengths
+    return h, np.minimum(np.stack([starts, np.maximum(starts, ends - size + 1)], axis=1), len(h))  # the last rows may be too short for one
 
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -76,11 +81,14 @@ def _slots(h: np.ndarray, size: int) -> list[np.ndarray]:
 
 @dataclasses.dataclass
 class Model:
-    """langs in order of their bits; slots: the bit-sliced filter; false: each language's false-positive rate."""
+    """langs in order of their bits; slots: the bit-sliced filter; false: each language's false-positive rate; prior: each
+    language's share of the labelled rows; short: for each short size, sorted hashes of n-grams and their masks."""
 
     langs: list[str]
     slots: np.ndarray
     false: np.ndarray
+    prior: np.ndarray | None = None
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = dataclasses.field(default_factory=dict)
 
     @staticmethod
     def build(langs: list[str], grams: np.ndarray, masks: np.ndarray, size: int = SLOTS) -> Model:
@@ -104,7 +112,7 @@ class Model:
         h, spans = gram_hashes([x.lower() for x in rows])
         found = self.masks(h)
         n_langs = len(self.langs)
-        if n_langs == 0 or not len(h):
+        if n_langs == 0:
             return [UNKNOWN] * len(rows), np.zeros(len(rows))
         popcount = np.bitwise_count(found)
         weight = np.where(popcount > 0, 1.0 / np.maximum(popcount, 1), 0.0) if n_langs > 1 else np.ones(len(h))
@@ -118,8 +126,27 @@ class Model:
         hits = np.maximum((hits - self.false) / (1 - self.false), 0)
         best, total = hits.argmax(axis=1), hits.sum(axis=1)
         score = np.where(total > 0, hits.max(axis=1) / np.maximum(total, 1e-12), 0.0)
-        known = np.array([bool(_LETTER.search(x)) for x in rows]) & (total > 0)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
+        letters = np.array([bool(_LETTER.search(x)) for x in rows])
+        score = np.where(letters, score, 0.0)
+        for i in np.flatnonzero(letters & (total <= 0)).tolist():
+            best[i], score[i] = self.guess(rows[i].lower())
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), letters.tolist())], score
+
+    def guess(self, row: str) -> tuple[int, float]:
+        """Language and score of a text with a letter by its short n-grams, at last by the labelled rows alone."""
+        for n in SHORT:
+            hashes, masks = self.short.get(n, (np.zeros(0, np.uint64),) * 2)
+            h, _ = gram_hashes([row], n)
+            if not len(hashes) or not len(h):
+                continue
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            found = masks[at[hashes[at] == h]]
+            if len(found):
+                bits = found[:, None] >> np.arange(len(self.langs), dtype=np.uint64) & np.uint64(1)
+                hits = (bits / bits.sum(axis=1, keepdims=True)).sum(axis=0)
+                return int(hits.argmax()), float(hits.max() / hits.sum())
+        prior = np.ones(len(self.langs)) / len(self.langs) if self.prior is None else self.prior
+        return int(prior.argmax()), float(prior.max())
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, grams: int = GRAMS, share: float = SHARE) -> Model:
@@ -136,27 +163,39 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
         for b in slices(batches, "text", BATCH_BYTES):
             of = np.array(b.column(1).to_pylist(), object)
             for lang in set(of):
-                h, spans = gram_hashes([x.lower() for x, k in zip(texts(b, "text"), of) if k == lang])
-                inside = np.concatenate([np.arange(a, z) for a, z in spans.tolist()]) if len(h) else np.zeros(0, np.int64)
-                g, n = np.unique(h[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counted.withColumn("r", F.row_number().over(_by_count())).where(F.col("r") <= grams).select("lang", "g", "n").toPandas()
+                own = [x.lower() for x, k in zip(texts(b, "text"), of) if k == lang]
+                for size in (NGRAM, *SHORT):
+                    h, spans = gram_hashes(own, size)
+                    inside = np.concatenate([np.arange(a, z) for a, z in spans.tolist()]) if len(h) else np.zeros(0, np.int64)
+                    g, n = np.unique(h[inside], return_counts=True)
+                    cols = [pa.array([lang] * len(g), pa.string()), pa.array([size] * len(g), pa.int32()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "size", "g", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, size int, g long, n long").groupBy("lang", "size", "g").agg(F.sum("n").alias("n"))
+    # a padding space or two alone are no n-gram of a language
+    blank = [int(gram_hashes([""], n)[0].view(np.int64)[0]) for n in (1, 2)]
+    counted = counted.where((F.col("n") > 1) | (F.col("size") < NGRAM)).where(~((F.col("size") <= 2) & F.col("g").isin(blank)))
+    held = F.when(F.col("size") == NGRAM, grams).otherwise(SHORT_GRAMS)
+    top = counted.withColumn("r", F.row_number().over(_by_count())).where(F.col("r") <= held).select("lang", "size", "g", "n").toPandas()
     bit = {k: i for i, k in enumerate(langs)}
-    ids, at = np.unique(top["g"].to_numpy(np.int64), return_inverse=True)
-    rate = np.zeros((len(ids), len(langs)))
-    np.add.at(rate, (at, top["lang"].map(bit).to_numpy(np.int64)), top["n"].to_numpy(float))
-    rate /= np.maximum(rate.sum(axis=0), 1)
-    holds = (rate > 0) & (rate >= share * rate.max(axis=1, keepdims=True))
-    masks = (holds * (np.uint64(1) << np.arange(len(langs), dtype=np.uint64))).sum(axis=1).astype(np.uint64)
-    return Model.build(langs, ids.view(np.uint64), masks)
+    tables = {}
+    for size in (NGRAM, *SHORT):
+        part = top[top["size"] == size]
+        ids, at = np.unique(part["g"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        rate = np.zeros((len(ids), len(langs)))
+        np.add.at(rate, (at, part["lang"].map(bit).to_numpy(np.int64)), part["n"].to_numpy(float))
+        rate /= np.maximum(rate.sum(axis=0), 1)
+        holds = (rate > 0) & (rate >= share * rate.max(axis=1, keepdims=True, initial=0))
+        tables[size] = ids, (holds * (np.uint64(1) << np.arange(len(langs), dtype=np.uint64))).sum(axis=1).astype(np.uint64)
+    model = Model.build(langs, *tables.pop(NGRAM))
+    rows_of = np.array([sizes[k] for k in langs], float)
+    return dataclasses.replace(model, prior=rows_of / rows_of.sum(), short=tables)
 
 
 def _by_count():
     from pyspark.sql import Window
 
-    return Window.partitionBy("lang").orderBy(F.desc("n"), "g")
+    return Window.partitionBy("lang", "size").orderBy(F.desc("n"), "g")
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -358,3 +358,16 @@ def test_likeness_within_three_errors(docs):
         if t.split():
             assert abs(got[i]["near_edited"] - jaccard(t, t[: len(t) - h] + texts[k][:h])) < 3 / (4 * cws.SAMPLES) ** 0.5
             assert abs(got[i]["near_next"] - jaccard(t, texts[k])) < 3 / (4 * cws.SAMPLES) ** 0.5
+
+
+def test_only_texts_without_a_letter_are_und(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(d.where(~langid.held_out()))
+    cases = [None, "", "12 ...", "_", "A.", "a", "I", "qzxj", "\u16a0", "x " * 3, "the and for"]
+    for rows in (cases, ["A."], ["\u16a0"], ["..."]):
+        lang, score = model.predict([x or "" for x in rows])
+        for text, k, x in zip(rows, lang, score):
+            has = any(c.isalpha() for c in text or "")
+            assert (k == langid.UNKNOWN) == (not has) and (x > 0) == has and x <= 1
+    one = spark.createDataFrame([(4616, "A.", "en", "s", 2), (1, "12", None, "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in langid.keep_known(one, model).collect()] == [4616]
