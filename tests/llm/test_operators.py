@@ -371,3 +371,17 @@ def test_only_texts_without_a_letter_are_und(spark):
             assert (k == langid.UNKNOWN) == (not has) and (x > 0) == has and x <= 1
     one = spark.createDataFrame([(4616, "A.", "en", "s", 2), (1, "12", None, "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in langid.keep_known(one, model).collect()] == [4616]
+
+
+def test_main_text_of_split_containers_and_class_names(spark):
+    body = "words of the body " * 40
+    pages = [
+        f"<body class=has-sidebar><article class='post tag-sports'><h1>Head</h1><p>lead</p><div class=body><p>{body}</p></div></article></body>",
+        f"<body class=no-sidebar><main><div class=entry-header><h1>Head</h1></div><p>lead</p><ul>{'<li>an item of a long list' * 40}</ul></main></body>",
+        f"<body><div class=menu><p>go</p></div><div class=one><p>{body}</p></div><div class=two><p>{body}</p></div><div class=cookie-banner><p>eat</p></div></body>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_main.extract(df).collect()}
+    assert got[0] == ["Head", "lead", body.strip()]
+    assert got[1] == ["Head", "lead"] + ["an item of a long list"] * 40
+    assert got[2] == [body.strip()] * 2
