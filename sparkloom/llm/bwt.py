@@ -79,9 +79,9 @@ def successor(bwt: np.ndarray) -> np.ndarray:
 def merge(shards: list[Transform], n_strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refine the interleave of ``shards`` to ``depth`` symbols.
 
-    Returns (interleave, block, common): the shard of each merged rank, the number of its block of equal
-    ``depth``-symbol prefixes, and a lower bound of the common prefix with the rank before (the depth of the last round in
-    which both shared a block).
+    Returns (interleave, shard, common): for each merged rank the suffix that stands there (numbered through the shards in
+    turn), its shard, and a lower bound of the common prefix with the rank before (the depth of the last round in which
+    both shared a block; ``depth`` where the whole prefix is common).
     """
     sizes = [len(s.bwt) for s in shards]
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -93,6 +93,8 @@ def merge(shards: list[Transform], n_strings: list[int], depth: int) -> tuple[np
     block = np.concatenate([f + np.where(f < n, strings[i], strings[-1] - n) for i, (f, n) in enumerate(zip(first, n_strings))])
     interleave = np.argsort(block, kind="stable")
     common = np.zeros(total, np.int32)
+    k = block[interleave]
+    common[1:][k[1:] == k[:-1]] = 1
     h = 1
     ahead = step
     while h < depth:
@@ -109,7 +111,7 @@ def merge(shards: list[Transform], n_strings: list[int], depth: int) -> tuple[np
         block[interleave] = np.cumsum(new) - 1
         if h < depth and h * 2 <= depth:
             ahead = ahead[ahead]
-    return np.searchsorted(at, interleave, side="right") - 1, block, common
+    return interleave, np.searchsorted(at, interleave, side="right") - 1, common
 
 
 def power(step: np.ndarray, n: int) -> np.ndarray:

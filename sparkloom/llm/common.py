@@ -32,6 +32,19 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_buckets(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """``write_shared`` in buckets by ``keys``, as many as shuffle partitions: later joins on the keys don't move its rows.
+
+    The table is external, under a name of its own in the session's catalog.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = os.path.join(shared_dir(spark), table)
+    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
