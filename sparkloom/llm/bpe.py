@@ -30,7 +30,7 @@ from tokenizers import Tokenizer, models
 from sparkloom.llm.common import slices, texts
 
 #: Pieces that one worker keeps; a full cache starts anew (about 220 bytes a piece).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded each time.
 CACHED_LENGTH = 40
 BATCH_BYTES = 4 << 20

@@ -28,7 +28,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +41,7 @@ def write_buckets(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     path = os.path.join(shared_dir(spark), table)
-    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    df.write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -36,8 +36,6 @@ SHINGLE_WORDS = 3
 SEED = 42
 DISTANCE = 2
 BATCH_BYTES = 4 << 20
-#: Shingles whose bits are unpacked at once.
-BITS_AT_ONCE = 1 << 15
 
 
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -55,17 +53,22 @@ def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], np.uint64, n)
 
 
+def bit_counts(x: np.ndarray) -> np.ndarray:
+    """How many rows of ``x`` (rows x 64-bit lanes) have each bit set; bits in order of memory."""
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+    total = np.zeros(rows.shape[1] * 8, np.int64)
+    for i in range(0, len(rows), 255):  # as many as one byte counts
+        total += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return total
+
+
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash: a bit is 1 if it is set in over half of the shingles' hashes."""
     hashes = shingle_hashes(text, words)
-    n = len(hashes)
-    if not n:
+    if not len(hashes):
         return 0
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, BITS_AT_ONCE):
-        part = hashes[i : i + BITS_AT_ONCE]
-        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    counts = bit_counts(hashes.astype(">u8")[:, None])
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:

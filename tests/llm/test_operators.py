@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, bwt, common, cws, flat_graph, html_blocks, html_main, langid, near_copies, packing, queries, simhash, suffix_dedup, url_rules, warc
+from sparkloom.llm import bpe, bwt, common, cws, flat_graph, html_blocks, html_main, langid, packing, queries, simhash, simhash_groups, suffix_dedup, url_rules, warc
 
 rng = random.Random(5)
 WORDS = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
@@ -385,3 +385,57 @@ def test_main_text_of_split_containers_and_class_names(spark):
     assert got[0] == ["Head", "lead", body.strip()]
     assert got[1] == ["Head", "lead"] + ["an item of a long list"] * 40
     assert got[2] == [body.strip()] * 2
+
+
+def test_suffix_dedup_divides_groups_of_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_STRINGS", 3)
+    texts = [say(20) + PASSAGE[:330] + say(30) for _ in range(12)] + [say(9) + PASSAGE + say(9) for _ in range(8)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for span in (400, 200):
+        want = [(i, *d) for i, d in enumerate(suffix_dedup.brute_force(texts, span))]
+        assert sum(d[2] for d in want) > 300
+        assert by_id(suffix_dedup.digests(df, span=span), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_wide_fingerprints_meet_near_copies():
+    found = 0
+    for _ in range(60):
+        words = say(260).split()
+        other = list(words)
+        for k in rng.sample(range(len(words)), 5):
+            other[k] = "changed"
+        a, b = (simhash_groups.shingles(" ".join(x)) for x in (words, other))
+        assert simhash_groups.jaccard(a, b) > 0.8
+        z = np.stack([simhash_groups.sums(a), simhash_groups.sums(b)])
+        values, keys = simhash_groups.probes(z)
+        stored = [{(s << simhash_groups.BITS) + int(v) for s, v in enumerate(row)} for row in values]
+        found += bool(stored[0] & set(keys[1].tolist()) or stored[1] & set(keys[0].tolist()))
+        differ = int(np.bitwise_count(values[0] ^ values[1]).sum())
+        assert abs(differ / z.shape[1] - simhash_groups.distance_of(simhash_groups.jaccard(a, b))) < 0.06
+    assert found >= 59
+
+
+def test_one_of_a_large_group_round_an_original(spark):
+    words = say(200).split()
+    rows = [(0, " ".join(words), "x", 1)]
+    for i in range(1, 60):
+        other = list(words)
+        for k in rng.sample(range(200), 3):
+            other[k] = f"own{i}"
+        rows.append((i, " ".join(other), "x", 1))
+    rows += [(100, say(200), "y", 2), (101, None, None, None), (None, "", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, node int").withColumn("r1", F.lit(1))
+    kept = simhash_groups.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 100, 101]
+
+
+def test_pipeline_cuts_passages_of_little_over_fifty_words(spark):
+    import corpus_pipeline
+
+    passages = [say(n) for n in (51, 55, 60)]
+    texts = [say(80) + " " + p + " " + say(70) for p in passages for _ in range(3)] + [say(150) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == t if i >= 9 else passages[i // 3] not in got[i] and len(got[i]) >= len(t) - len(passages[i // 3]) - 4
