@@ -3,9 +3,9 @@
 1. Documents become token pieces (Arrow stage; ids by the tokenizers library): id, piece, start, length, crc.
 2. The histogram of lengths, at most one row for each length, goes to the driver.
 3. Covering LP over configurations (multisets of lengths that fit a sequence): multiplicative weights keep a price
-   for each length, a knapsack dynamic program finds the configuration worth most, the prices of what it covers fall.
-   Each round's amount is rounded to whole sequences; what the rounds leave is packed best fit, longest first, on the
-   histogram.
+   for each length, a knapsack dynamic program finds the configurations worth most, the prices of what they cover fall. The sum of the
+   rounds is a fractional solution, the prices give a lower bound. It is rounded down, the rest is solved again, and what
+   no whole sequence is left of is completed, longest first, by the same knapsack over what is left.
 4. The plan is a list of slots for each length: which ranks go to which sequences, at which offset. Ranks are counted
    in two levels (chunks of a hash, then a prefix sum over chunk counts), so no length is gathered in one task.
 
@@ -18,6 +18,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +34,11 @@ from sparkloom.llm.common import slices, texts, write_shared
 CAPACITY = 1024
 END_ID = 2
 FILE = "byte_bpe_50k.json"
-ROUNDS = 300
-#: How fast prices follow what is open, how much more a long piece is worth for its size, and the part of a demand that a
-#: round covers.
-RATE, LARGE, STEP = 0.3, 0.05, 0.25
+#: Rounds of a program, configurations a round, how fast prices fall with cover, and the part of a demand that one configuration covers.
+ROUNDS, AT_ONCE, RATE, STEP = 200, 16, 0.15, 0.1
+#: Programs at most, and the part of the pieces that a rounding must leave fewer than for another; how much more a long piece is worth for
+#: its size in the last rest.
+PHASES, ENOUGH, SLOPES = 4, 0.8, (0.02, 0.1)
 BATCH_BYTES = 4 << 20
 
 
@@ -67,111 +69,137 @@ def pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", file:
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length stands in the configuration of the greatest total price: an unbounded knapsack."""
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+Configuration = tuple[int, ...]
+
+
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over lengths 1.. (``price`` by length, -inf where there is none).
+
+    best[c]: the greatest total price of a configuration of at most c tokens; last[c]: the length that completes it, 0 where the last
+    token stays free.
+    """
+    capacity = len(price) - 1
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    backwards = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            value = best[c - lengths[:n]] + prices[:n]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], taken[c] = value[i], i
-    config = np.zeros(len(lengths), np.int64)
-    c = capacity
+        value = backwards[capacity - c + 1 :] + price[1 : c + 1]
+        i = int(value.argmax())
+        best[c], last[c] = (value[i], i + 1) if value[i] > best[c - 1] else (best[c - 1], 0)
+        backwards[capacity - c] = best[c]
+    return best, last
+
+
+def completed(length: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best configuration that holds ``length``, as different lengths and how often each stands in it."""
+    items, c = [length], len(last) - 1 - length
     while c > 0:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            config[taken[c]] += 1
-            c -= lengths[taken[c]]
-    return config
-
-
-def _plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations (how often each of ``lengths``, ascending) and how many sequences take each; covers ``counts`` exactly."""
-    left = counts.astype(np.int64).copy()
-    packed: list[tuple[np.ndarray, int]] = []
-    full = lengths == capacity
-    if full.any():
-        packed.append((full.astype(np.int64), int(left[full][0])))
-        left[full] = 0
+        if last[c]:
+            items.append(int(last[c]))
+        c -= max(1, int(last[c]))
+    return np.unique(items, return_counts=True)
+
+
+@dataclasses.dataclass
+class Solution:
+    """A fractional covering: amounts of configurations, the part of each length's demand they cover, its value once scaled to cover
+    all, and a lower bound of any covering (by the dual prices)."""
+
+    amounts: dict[Configuration, float]
+    cover: np.ndarray
+    value: float
+    bound: float
+
+
+def solve(demand: np.ndarray, rounds: int = ROUNDS) -> Solution:
+    """The covering program over configurations by multiplicative weights; ``demand`` by length, 0..capacity.
+
+    In each round the price of a length is its size times a weight that falls with what is covered of it; one knapsack prices
+    all configurations, and the lengths that are covered least get the best one that holds them, by STEP of its scarcest demand.
+    """
+    capacity = len(demand) - 1
+    on = np.flatnonzero(demand)
+    size = np.arange(capacity + 1) / capacity
+    amounts: dict[Configuration, float] = {}
+    cover = np.zeros(capacity + 1)
+    bound = float((size * demand).sum())
     for _ in range(rounds):
-        used = np.flatnonzero(left)
-        if not len(used):
-            break
-        sizes, demand, rest = lengths[used], counts[used].astype(float), left[used]
-        # multiplicative weights: a length's price rises with the part of its demand that is not covered yet
-        open_part = rest / demand
-        price = sizes / capacity * (1 + LARGE * sizes / capacity) * np.exp(RATE * (open_part - open_part.mean()))
-        config = best_configuration(sizes, price, capacity)
-        config = np.minimum(config, rest)
-        on = config > 0
-        # a step covers a part of the scarcest length's demand, in whole sequences: the solution is rounded as it grows
-        n = int(min((rest[on] // config[on]).min(), max(1, np.ceil(STEP * (demand[on] / config[on]).min()))))
-        whole = np.zeros(len(lengths), np.int64)
-        whole[used] = config
-        packed.append((whole, n))
-        left -= n * whole
-    if left.any():
-        packed += best_fit(lengths, left, capacity)
+        price = np.full(capacity + 1, -np.inf)
+        price[on] = size[on] * np.exp(-RATE * (cover[on] - cover[on].mean()) / STEP)
+        best, last = knapsack(price)
+        bound = max(bound, float((price[on] * demand[on]).sum() / best[capacity]))
+        for i in on[np.argsort(cover[on], kind="stable")[:AT_ONCE]].tolist():
+            lengths, often = completed(i, last)
+            amount = STEP * float((demand[lengths] / often).min())
+            config = tuple(np.repeat(lengths, often).tolist())
+            amounts[config] = amounts.get(config, 0.0) + amount
+            cover[lengths] += often * amount / demand[lengths]
+    least = cover[on].min()
+    return Solution(amounts, cover, sum(amounts.values()) / least if least > 0 else float("inf"), bound)
+
+
+def rounded_down(demand: np.ndarray, found: Solution) -> list[tuple[Configuration, int]]:
+    """Whole sequences of a fractional solution that no length has too many of; ``demand`` falls by what they hold."""
+    packed = []
+    for config, amount in found.amounts.items():
+        lengths, often = np.unique(config, return_counts=True)
+        if n := int(min(amount / found.cover[lengths].max(), (demand[lengths] // often).min())):
+            packed.append((config, n))
+            demand[lengths] -= n * often
     return packed
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """The rounded linear program; best fit alone only where that needs fewer sequences (the rounding's check)."""
-    return min(_plan(lengths, counts, capacity, rounds), best_fit(lengths, counts, capacity), key=lambda p: sum(n for _, n in p))
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit, longest first, on a histogram: sequences with the same contents are one entry with a number."""
-    open_by_room: dict[int, list[list]] = {}
-    done: list[tuple[np.ndarray, int]] = []
-    for i in range(len(lengths) - 1, -1, -1):
-        size, left = int(lengths[i]), int(counts[i])
-        while left:
-            room = min((r for r, v in open_by_room.items() if r >= size and v), default=None)
-            if room is None:
-                per = capacity // size
-                config = np.zeros(len(lengths), np.int64)
-                n = max(1, left // per)
-                config[i] = min(per, left)
-                left -= n * int(config[i])
-                _open(open_by_room, done, capacity - size * int(config[i]), config, n)
-                continue
-            config, n = open_by_room[room].pop()
-            per = min(room // size, left)
-            take = min(n, left // per)
-            if take < n:
-                open_by_room[room].append([config, n - take])
-            new = config.copy()
-            new[i] += per
-            left -= take * per
-            _open(open_by_room, done, room - size * per, new, take)
-    return done + [(c, n) for v in open_by_room.values() for c, n in v]
-
-
-def _open(rooms: dict[int, list[list]], done: list, room: int, config: np.ndarray, n: int) -> None:
-    if room:
-        rooms.setdefault(room, []).append([config, n])
-    else:
-        done.append((config, n))
-
-
-def slots(lengths: np.ndarray, packed: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
+def completions(demand: np.ndarray, slope: float) -> list[tuple[Configuration, int]]:
+    """The rounding's rest: the longest length that is left gets the best configuration among what is left, until nothing is."""
+    demand = demand.copy()
+    capacity = len(demand) - 1
+    size = np.arange(capacity + 1) / capacity
+    packed = []
+    while demand.any():
+        longest = int(np.flatnonzero(demand)[-1])
+        _, last = knapsack(np.where(demand > 0, size * (1 + slope * size), -np.inf))
+        lengths, often = completed(longest, last)
+        while (demand[lengths] > 0).all():
+            often = np.minimum(often, demand[lengths])
+            n = int((demand[lengths] // often).min())
+            packed.append((tuple(np.repeat(lengths, often).tolist()), n))
+            demand[lengths] -= n * often
+    return packed
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[Configuration, int]], float]:
+    """Configurations and how many sequences take each, which hold ``counts`` exactly, and the program's lower bound.
+
+    The solution is rounded down and the program solved again for what that leaves, up to PHASES times; the few sequences of the last
+    rest are completed one length at a time, with the better of SLOPES.
+    """
+    demand = np.zeros(capacity + 1, np.int64)
+    demand[lengths] = counts
+    packed: list[tuple[Configuration, int]] = [((capacity,), int(demand[capacity]))] if demand[capacity] else []
+    bound = float(demand[capacity])
+    demand[capacity] = 0
+    for phase in range(PHASES):
+        before = int(demand.sum())
+        if not before:
+            break
+        found = solve(demand, rounds)
+        bound += found.bound if phase == 0 else 0.0
+        packed += rounded_down(demand, found)
+        if demand.sum() > ENOUGH * before:
+            break
+    return packed + min((completions(demand, x) for x in SLOPES), key=lambda p: sum(n for _, n in p)), bound
+
+
+def slots(packed: list[tuple[Configuration, int]]) -> dict[str, np.ndarray]:
     """For each length, in order of ranks: first rank, first sequence and offset of each run of slots."""
-    rank = np.zeros(len(lengths), np.int64)
+    rank: dict[int, int] = {}
     sequence = 0
     rows = []
     for config, n in packed:
         offset = 0
-        for i in np.flatnonzero(config)[::-1].tolist():
-            for _ in range(int(config[i])):
-                rows.append((int(lengths[i]), int(rank[i]), sequence, offset))
-                rank[i] += n
-                offset += int(lengths[i])
+        for length in sorted(config, reverse=True):
+            rows.append((length, rank.get(length, 0), sequence, offset))
+            rank[length] = rank.get(length, 0) + n
+            offset += length
         sequence += n
     table = np.array(sorted(rows), np.int64).reshape(-1, 4)
     return dict(zip(("length", "rank", "sequence", "offset"), table.T))
@@ -188,7 +216,7 @@ def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", file: st
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).drop("n")
     histogram = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
     lengths = np.array([r["length"] for r in histogram], np.int64)
-    table = slots(lengths, plan(lengths, np.array([r["n"] for r in histogram], np.int64), capacity))
+    table = slots(plan(lengths, np.array([r["n"] for r in histogram], np.int64), capacity)[0])
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("length", "chunk").orderBy(id_col, "piece", "ids_crc32")) - 1)
     placed = ranked.join(before, ["length", "chunk"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     shared = spark.sparkContext.broadcast(table)  # bounded by the capacity

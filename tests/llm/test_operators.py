@@ -163,8 +163,40 @@ def test_packing(docs, empty):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
     assert packing.pack(empty).count() == 0
     lengths, counts = np.unique(np.random.default_rng(1).integers(1, 1025, 5000), return_counts=True)
-    made = packing.plan(lengths, counts)
-    assert (sum(c * n for c, n in made) == counts).all() and sum(n for _, n in made) <= 1.01 * (lengths * counts).sum() / 1024 + 1
+    made, bound = packing.plan(lengths, counts)
+    held = Counter()
+    for config, n in made:
+        assert sum(config) <= 1024 and n > 0
+        for x in config:
+            held[x] += n
+    assert held == Counter(dict(zip(lengths.tolist(), counts.tolist())))
+    sequences = sum(n for _, n in made)
+    assert (lengths * counts).sum() / 1024 <= bound <= sequences <= bound + len(lengths) / 2 and sequences <= 1.01 * bound + 1
+
+
+def test_the_fractional_solution_covers_and_the_bound_holds():
+    demand = np.zeros(13, np.int64)
+    demand[[5, 4, 3, 7]] = [12, 8, 10, 6]
+    found = packing.solve(demand, 400)
+    cover = Counter()
+    for config, amount in found.amounts.items():
+        assert sum(config) <= 12
+        for x in config:
+            cover[x] += amount
+    scale = found.value / sum(found.amounts.values())
+    assert all(cover[x] * scale >= demand[x] * (1 - 1e-9) for x in cover) and set(cover) == {3, 4, 5, 7}
+    # twelve tokens: 7+5 six times, 5+4+3 six times, 4+4+4 and 3+3+3+3 for the rest: 13 and two thirds
+    assert (np.arange(13) * demand).sum() / 12 <= found.bound <= 13.67 <= found.value + 0.01 and found.value < 14.2
+    best, last = packing.knapsack(np.array([-np.inf, -np.inf, -np.inf, 3.0, 4.2, 5.0]))
+    assert best.tolist() == [0, 0, 0, 3, 4.2, 5.0]
+
+
+def test_packing_of_documents_is_near_the_bound(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length", "sequence_id").toPandas()
+    lengths, counts = np.unique(rows["length"], return_counts=True)
+    made, bound = packing.plan(lengths, counts)
+    assert rows["sequence_id"].nunique() == sum(n for _, n in made) <= min(964, bound + len(lengths) / 2)
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
 def test_flat_graph_is_brute_force(spark):
