@@ -36,17 +36,19 @@ def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
 
     One row for each occurrence; no exchange if the rows of a key lie together. A term that several texts of a key share
     is drawn for once, only its weights differ. A row with a null term stands for a text without terms; its signature
-    is all zeros. The samples are taken in sets of ``AT_ONCE // kinds`` and each draw is a column of its own projection:
+    is all zeros. A row of kind -1 is a note on its key, at most one with white space in it: it goes with the terms, so that the many rows
+    between need no more columns, and comes back as ``note``. The samples are taken in sets of ``AT_ONCE // kinds`` and each draw is a column of its own projection:
     generated code that is short enough for the JVM to compile, with every logarithm taken once.
     """
     step = max(1, AT_ONCE // kinds)
     each, texts = range(step), range(kinds)
-    counted = terms.groupBy(*keys, "term").agg(*[F.count_if(F.col("kind") == k).alias(f"w{k}") for k in texts])
+    counted = terms.groupBy(*keys, "term").agg(*[F.count_if(F.col("kind") == k).alias(f"w{k}") for k in (*texts, -1)])
     # a text without the term (and the null term, which xxhash64 would pass over) has no logarithm, no sample and no part in the minimum
     weights = [F.when(F.col("term").isNotNull() & (F.col(f"w{k}") > 0), F.ln(f"w{k}")).alias(f"lw{k}") for k in texts]
-    hashed = counted.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), *weights)
-    kept = [*keys, "h", *[f"lw{k}" for k in texts], "first"]
-    sets = hashed.select(*kept[:-1], F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, step)])).alias("first"))
+    hashed = counted.select(*keys, F.when(F.col("w-1") > 0, F.col("term")).alias("note"), F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), *weights)
+    kept = [*keys, "note", "h", *[f"lw{k}" for k in texts], "first"]
+    firsts = F.when(F.col("note").isNull(), F.array(*[F.lit(i) for i in range(0, SAMPLES, step)])).otherwise(F.array(F.lit(-1)))
+    sets = hashed.select(*kept[:-1], F.explode(firsts).alias("first"))
 
     def uniform(x: str, bit: int, width: int):
         """A uniform draw from ``width`` bits, times 2^width."""
@@ -58,24 +60,27 @@ def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
 
     x = sets.select(*kept, *[F.xxhash64("h", F.col("first") + F.lit(j)).alias(f"x{j}") for j in each])
     drawn = x.select(*kept, *[c for j in each for c in (gamma(f"x{j}", 0).alias(f"r{j}"), F.ln(gamma(f"x{j}", 26)).alias(f"c{j}"), (F.shiftrightunsigned(f"x{j}", 52).cast("double") * F.lit(1 / 4096)).alias(f"b{j}"))])
-    timed = drawn.select(*keys, "h", "first", *[c for j in each for c in (f"r{j}", f"c{j}", f"b{j}", *[F.floor(F.col(f"lw{k}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}_{k}") for k in texts])])
+    timed = drawn.select(*keys, "note", "h", "first", *[c for j in each for c in (f"r{j}", f"c{j}", f"b{j}", *[F.floor(F.col(f"lw{k}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}_{k}") for k in texts])])
 
     def packed(j: int, k: int):
         value = F.col(f"c{j}") - F.col(f"r{j}") * (F.col(f"t{j}_{k}").cast("double") + F.lit(1.0) - F.col(f"b{j}"))
-        # a positive fixed-point number, then the sample's name
-        name = F.xxhash64("h", f"t{j}_{k}").bitwiseAND(F.lit((1 << 24) - 1))
+        # a positive fixed-point number, then the sample's name: bits of the term's hash, which no draw uses, and the step
+        name = F.shiftrightunsigned("h", 40).bitwiseXOR(F.col(f"t{j}_{k}").bitwiseAND(F.lit((1 << 24) - 1)))
         return F.shiftleft(((value + F.lit(2048.0)) * F.lit(float(1 << 26))).cast("long"), 24).bitwiseOR(name)
 
-    mins = timed.groupBy(*keys, "first").agg(*[F.min(packed(j, k)).alias(f"m{j}_{k}") for k in texts for j in each])
+    mins = timed.groupBy(*keys, "first", "note").agg(*[F.min(packed(j, k)).alias(f"m{j}_{k}") for k in texts for j in each])
     low = F.lit((1 << SAMPLE_BITS) - 1)
     part = [F.array(*[F.coalesce(F.col(f"m{j}_{k}").bitwiseAND(low), F.lit(0).cast("long")) for j in each]).alias(f"p{k}") for k in texts]
-    parts = mins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", *part))).alias("parts"))
-    return parts.select(*keys, *[F.flatten(F.col("parts")[f"p{k}"]).alias(f"sig_{k}") for k in texts])
+    parts = mins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "note", *part))).alias("parts"))
+    none = F.array_repeat(F.lit(0).cast("long"), SAMPLES)
+    drawn_for = F.filter("parts", lambda x: x["first"] >= 0)
+    note = F.get(F.filter("parts", lambda x: x["first"] < 0), F.lit(0))["note"].alias("note")
+    return parts.select(*keys, note, *[F.when(F.size(drawn_for) > 0, F.flatten(drawn_for[f"p{k}"])).otherwise(none).alias(f"sig_{k}") for k in texts])
 
 
 def signature(terms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sig array<long>) of (keys, term): one text of each key, see ``signatures``."""
-    return signatures(terms.withColumn("kind", F.lit(0)), keys, 1).withColumnRenamed("sig_0", "sig")
+    return signatures(terms.withColumn("kind", F.lit(0)), keys, 1).withColumnRenamed("sig_0", "sig").drop("note")
 
 
 def likeness(a: str, b: str):
@@ -88,10 +93,18 @@ def as_hex(sig: str):
     return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), SAMPLE_BITS // 4, "0"))), "")
 
 
+#: The white space that parts words.
+WHITE = " \t\n\x0b\f\r"
+
+
+def words_of(text: str):
+    """The parts of a text between single white-space characters, empty ones among them; a plain split is far cheaper than a pattern."""
+    return F.split(F.translate(F.lower(F.col(text)), WHITE, " " * len(WHITE)), " ")
+
+
 def terms_of(text: str):
     """The words of a text; one null if there is none."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    return F.explode_outer(words)
+    return F.explode_outer(F.filter(words_of(text), lambda w: w != ""))
 
 
 def in_descending_order(docs: DataFrame) -> DataFrame:
@@ -99,6 +112,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     first row of the next one (lead_row false), the last with that of the first."""
     spark = docs.sparkSession
     parts = min(RANGES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 16))
+    # descending order as an ascending one, null ids last; the complement, for the negative of the least long is none
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     at = [i / parts for i in range(1, parts)]
     bounds = docs.agg(F.percentile_approx(order, at, parts * 20).alias("p")).first()["p"] or []
@@ -107,7 +121,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     part = F.lit(len(bounds)) - F.size(F.filter(lows, lambda b: b < order))
     placed = docs.select(part.alias("part"), "doc_id", "text")
     # the first row of each range, by id and then by a digest of its text: as many rows as ranges
-    heads = placed.groupBy("part").agg(F.min(F.struct((-order).alias("o"), F.xxhash64("text").alias("x"))).alias("first")).orderBy("part").collect()
+    heads = placed.groupBy("part").agg(F.min(F.struct(F.bitwise_not(order).alias("o"), F.xxhash64("text").alias("x"))).alias("first")).orderBy("part").collect()
     first = [r["part"] for r in heads]
     before = {p: first[i - 1] for i, p in enumerate(first)}
     # a range's head is copied to the range before it, the first range's to the last
@@ -115,7 +129,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     mark = F.create_map(*[y for r in heads for y in (F.lit(r["part"]), F.struct(F.lit(r["first"]["o"]).cast("long").alias("o"), F.lit(r["first"]["x"]).cast("long").alias("x")))]) if heads else None
     if mark is None:
         return placed.select("part", F.lit(True).alias("lead_row"), "doc_id", "text")
-    is_head = F.struct((-order).alias("o"), F.xxhash64("text").alias("x")) == F.try_element_at(mark, F.col("part"))
+    is_head = F.struct(F.bitwise_not(order).alias("o"), F.xxhash64("text").alias("x")) == F.try_element_at(mark, F.col("part"))
     copies = F.when(is_head, F.array(F.struct(F.col("part"), F.lit(True).alias("lead_row")), F.struct(F.try_element_at(head, F.col("part")).alias("part"), F.lit(False).alias("lead_row")))).otherwise(F.array(F.struct(F.col("part"), F.lit(True).alias("lead_row"))))
     return placed.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.part", "c.lead_row", "doc_id", "text")
 
@@ -137,14 +151,21 @@ def fingerprint_with_next(df: DataFrame, text_col: str = "text", id_col: str = "
     rows = dealt.withColumn("tie", F.xxhash64("text")).withColumns({"nth": F.row_number().over(line), "next_text": F.lead("text").over(line)})
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     # the digest is taken before the words are spread, or it would be taken for each word
-    sha = F.when(F.col("lead_row"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
+    sha = F.when(F.col("lead_row"), F.sha2(F.col("edited").cast("binary"), 256)).otherwise(F.lit(""))
+    note = F.concat_ws(" ", F.col("lead_row").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n.cast("string"), sha)
     own, other = (F.struct(F.lit(k).alias("kind"), F.col(body).alias("body")) for k, body in enumerate(("text", "edited")))
-    bodies = F.when(F.col("lead_row"), F.array(own, other)).otherwise(F.array(own))
-    keys = ["part", "nth", "lead_row", "doc_id", "n_chars", "sha"]
-    made = rows.select("part", "nth", "lead_row", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = made.select(*keys[:-1], sha.alias("sha"), F.explode(bodies).alias("b"))
-    signed = signatures(both.select(*keys, "b.kind", terms_of("b.body").alias("term")), keys, 2)
-    pair = signed.select(*keys[:-1], F.lower(F.hex("sha")).alias("edited_sha256"), F.col("sig_0").alias("sig"), F.col("sig_1").alias("edited"))
+    about = F.struct(F.lit(-1).alias("kind"), F.col("note").alias("body"))
+    bodies = F.when(F.col("lead_row"), F.array(own, other, about)).otherwise(F.array(own, about))
+    keys = ["part", "nth"]
+    made = rows.select(*keys, "lead_row", "doc_id", "text", edited.alias("edited")).withColumn("note", note)
+    both = made.select(*keys, F.explode(bodies).alias("b"))
+    # the note stands for the texts without words
+    words = F.explode(F.when(F.col("b.kind") >= 0, words_of("b.body")).otherwise(F.array("b.body")))
+    signed = signatures(both.select(*keys, "b.kind", words.alias("term")).where("term <> ''"), keys, 2)
+    about = F.split("note", " ")
+    pair = signed.select(
+        *keys, (about[0] == "true").alias("lead_row"), F.expr("nullif(split(note, ' ')[1], '')").cast("long").alias("doc_id"), about[2].cast("long").alias("n_chars"), about[3].alias("edited_sha256"), F.col("sig_0").alias("sig"), F.col("sig_1").alias("edited")
+    )
     ahead = pair.withColumn("next_sig", F.lead("sig").over(Window.partitionBy("part").orderBy("nth"))).where("lead_row")
     return ahead.select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", as_hex("sig").alias("fingerprint"), as_hex("edited").alias("edited_fingerprint"), likeness("sig", "edited").alias("near_edited"), likeness("sig", "next_sig").alias("near_next")

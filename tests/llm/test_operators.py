@@ -471,3 +471,11 @@ def test_pipeline_cuts_passages_of_little_over_fifty_words(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
     for i, t in enumerate(texts):
         assert got[i] == t if i >= 9 else passages[i // 3] not in got[i] and len(got[i]) >= len(t) - len(passages[i // 3]) - 4
+
+
+def test_fingerprints_of_null_and_extreme_ids(spark):
+    rows = [(None, "a b c d", 1), (None, "a b c e", 2), (-(1 << 63), "x y", 3), ((1 << 63) - 1, "u v w", 4), (3, None, 5)]
+    got = cws.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string, note int")).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t or "")) for i, t, _ in rows)
+    top = next(r for r in got if r["doc_id"] == (1 << 63) - 1)
+    assert top["edited_sha256"] == hashlib.sha256(b"u v").hexdigest() and top["near_next"] == 0.0
