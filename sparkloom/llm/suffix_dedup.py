@@ -7,8 +7,9 @@ A byte goes if a string of ``span`` (400) bytes that covers it also starts anywh
 2. Anchors: each ``span``-byte window names the least of its 32-byte hashes (minimizer). Equal windows name the same hash
    at the same place, so a window can repeat only if its anchor occurs twice in the corpus.
 3. Windows of a repeated anchor form candidate strings, named by (anchor, block of places, the bytes that all windows of that block
-   share). Equal windows share all three, so their strings are of one group. Only hashes of groups and strings are counted: a group
-   of one string is no candidate, and a group of equal strings repeats whole.
+   share). Equal windows share all three, so their strings are of one group. A string that comes again in its own text repeats
+   whole, and counts once for that text. Only hashes of groups and strings are counted: a group of one string is no candidate,
+   and a group of equal strings repeats whole.
 4. A group of over ``GROUP_STRINGS`` different strings (a passage that many documents share, in different surroundings) is divided
    by narrower blocks of places, at last by whole windows, where all strings of a group are equal. So no group is large.
 5. Each task forms shards of the different strings of its groups, builds their transforms and merges them (``bwt``).
@@ -99,6 +100,18 @@ def strings_of(data: bytes, name: int, place: int, first: int, last: int, width:
         yield group, xxhash.xxh64_intdigest(data[lo : hi + span], width) - (1 << 63), lo, hi - lo + span
 
 
+def rows_of(found: list[tuple[int, int, int, int, int]], k1: int, k2: int) -> list[tuple]:
+    """_CANDIDATE rows of one text: each of its strings once, and without a group the bytes of those that come again."""
+    first: dict[tuple[int, int], tuple] = {}
+    again: set[tuple[int, int]] = set()
+    for g, s, lo, size, place in found:
+        kept = first.setdefault((g, s), (g, s, k1, k2, lo, size, place))
+        if kept[4] != lo:
+            again |= {(lo, lo + size), (kept[4], kept[4] + size)}
+    runs = sorted(again)
+    return [*first.values(), *((None, None, k1, k2, a, z - a, None) for a, z in union([a for a, _ in runs], [z for _, z in runs]))]
+
+
 def repeated_windows(strings: list[bytes], span: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each string, which of its window starts hold a ``span``-byte string that starts elsewhere in ``strings``."""
     shards, held = [[]], 0
@@ -171,9 +184,11 @@ def _candidates(texts: DataFrame, span: int) -> DataFrame:
                 name, place, first, wanted = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(3, 7))
                 data = text.encode()
                 last = np.concatenate([first[1:] - 1, [len(data) - span]])
+                found = []
                 for j in np.flatnonzero(np.isin(name, wanted)).tolist():
                     p = int(place[j])
-                    out += [(g, s, k1, k2, lo, size, p) for g, s, lo, size in strings_of(data, int(name[j]), p, int(first[j]), int(last[j]), PLACES[0], span)]
+                    found += [(*x, p) for x in strings_of(data, int(name[j]), p, int(first[j]), int(last[j]), PLACES[0], span)]
+                out += rows_of(found, k1, k2)
             yield _records(out, _KINDS, _NAMES)
 
     return rows.mapInArrow(run, _CANDIDATE)
@@ -188,7 +203,8 @@ def _narrower(texts: DataFrame, large: DataFrame, width: int, span: int) -> Data
         for b in slices(batches, "text", BATCH_BYTES):
             for k1, k2, text, asked in zip(*(b.column(c).to_pylist() for c in range(4))):
                 data = text.encode()
-                yield _records([(g, s, k1, k2, lo, size, x["place"]) for x in asked for g, s, lo, size in strings_of(data, x["group"], x["place"], x["start"], x["start"] + x["size"] - span, width, span)], _KINDS, _NAMES)
+                found = [(*y, x["place"]) for x in asked for y in strings_of(data, x["group"], x["place"], x["start"], x["start"] + x["size"] - span, width, span)]
+                yield _records(rows_of(found, k1, k2), _KINDS, _NAMES)
 
     return rows.mapInArrow(run, _CANDIDATE)
 
@@ -237,9 +253,11 @@ def _merged(strings: DataFrame, span: int) -> DataFrame:
 
 def _spans(texts: DataFrame, span: int) -> DataFrame:
     """(k1, k2, start, stop): bytes of texts that repeated windows cover; pieces may overlap."""
-    rows = write_shared(_candidates(texts, span), "candidates")
+    made = write_shared(_candidates(texts, span), "candidates")
     out = []
     for level, width in enumerate(PLACES):
+        rows = made.where("group is not null")
+        out.append(made.where("group is null").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop")))
         groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.min("string") < F.max("string")).alias("mixed")).where("n > 1").drop("n")
         groups = write_shared(groups, "groups")
         out.append(rows.join(groups.where("not mixed"), "group").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop")))
@@ -253,7 +271,7 @@ def _spans(texts: DataFrame, span: int) -> DataFrame:
         out.append(rows.join(found, ["group", "string"]).select("k1", "k2", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + span).alias("stop")))
         if not large.take(1):
             break
-        rows = write_shared(_narrower(texts, rows.join(large, "group"), PLACES[level + 1], span), "candidates")
+        made = write_shared(_narrower(texts, rows.join(large, "group"), PLACES[level + 1], span), "candidates")
     spans = out[0]
     for x in out[1:]:
         spans = spans.unionAll(x)
