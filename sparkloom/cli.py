@@ -1,4 +1,4 @@
-"""Command line: inspect, diff, replay, cache, prompt, ablate."""
+"""Command line: run, inspect, diff, replay, cache, prompt, ablate."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import sys
 
 from sparkloom.plans import runs
 from sparkloom.plans.config import PromptPack
+from sparkloom.sources import tables
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -21,6 +22,9 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("folder")
     r.add_argument("--mode", default="full_cache", choices=["full_cache", "verify", "from_stage", "selective"])
     r.add_argument("--stage", action="append", default=[])
+    u = sub.add_parser("run")
+    u.add_argument("config", help="a YAML file with name, data, stages and, if wanted, seed, run_id, cache")
+    u.add_argument("folder")
     q = sub.add_parser("prompt")
     q.add_argument("action", choices=["lint", "list"])
     q.add_argument("pack")
@@ -56,11 +60,19 @@ def main(argv: list[str] | None = None) -> int:
         from sparkloom.operators import cache
 
         spark = SparkSession.builder.getOrCreate()
-        table = spark.read.parquet(x.path)
         if x.action == "stats":
-            cache.stats(table).orderBy("stage_name").show(truncate=False)
+            cache.stats(spark.read.parquet(x.path)).orderBy("stage_name").show(truncate=False)
         else:
-            cache.clear_stage(table, x.stage).write.mode("overwrite").partitionBy("stage_name").parquet(f"{x.path}.new")
+            print(json.dumps({"cleared": cache.clear(spark, x.path, x.stage)}))
+    elif x.command == "run":
+        import yaml
+        from pyspark.sql import SparkSession
+
+        with open(x.config, encoding="utf-8") as f:
+            config = yaml.safe_load(f)
+        spark = SparkSession.builder.getOrCreate()
+        m = runs.run(runs.graph_of(config), tables.read_table(spark, config["data"]), x.folder, runs.Context(run_id=config.get("run_id", config["name"])), config.get("seed", 42), cache_path=config.get("cache"))
+        print(json.dumps({"run": m.run_id, "status": m.status, "hash": m.hash(), "stages": [[s["name"], s["rows"], s["status"]] for s in m.stages]}))
     return 0
 
 

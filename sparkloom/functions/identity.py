@@ -5,6 +5,9 @@ Parts are joined with their lengths in front, so no two lists of parts give one
 
 from __future__ import annotations
 
+import random
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +68,23 @@ def sample_seed(row: Column, attempt: Column) -> Column:
     return seed(F.lit("sample"), row, attempt)
 
 
+def validate_seed(value: int) -> int:
+    """A seed in [0, 2^32), else an error."""
+    if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value < 1 << 32:
+        raise ValueError(f"a seed is a whole number from 0 to 4294967295, not {value!r}")
+    return value
+
+
+@dataclass(frozen=True)
+class SeedPolicy:
+    """The run's seed: the one given, or a random one that the manifest then records."""
+
+    given: int | None = 42
+
+    def seed(self) -> int:
+        return random.SystemRandom().randrange(1 << 32) if self.given is None else validate_seed(self.given)
+
+
 def cache_key(stage: Column, row: Column, prompt: Column, model: Column, sampling: Column, code: Column | None = None) -> Column:
     return F.md5(joined(*[x for x in (stage, row, prompt, model, sampling, code) if x is not None]).cast("binary"))
 

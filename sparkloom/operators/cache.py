@@ -6,9 +6,11 @@ partitioned by stage_name; all operations are joins on the key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources import shared
+
 HASHES = ("prompt_hash", "model_hash", "sampling_hash")
 
 
@@ -62,22 +64,43 @@ def clear_stage(cache: DataFrame, stage: str) -> DataFrame:
     return cache.where(~F.col("stage_name").eqNullSafe(F.lit(stage)))
 
 
-def downstream_rows(lineage: DataFrame, changed: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Ids of all rows made from changed ones (column row_id): lineage is (row_id, source_row_id).
+def clear(spark: SparkSession, path: str, stage: str | None = None) -> bool:
+    """Remove the entries of a stage, or all, from a cache table; False where there were none."""
+    if stage is None:
+        return shared.delete(spark, path)
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(stage)
+    return shared.delete(spark, f"{path.rstrip('/')}/stage_name={name}")
+
+
+def entry(cache: DataFrame, key: str) -> DataFrame:
+    """The last entry of one key: no row if there is none."""
+    return latest(cache.where(F.col("key") == key))
+
+
+def without(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The entries whose key is not among ``keys``."""
+    return cache.join(keys.select("key"), "key", "left_anti")
+
+
+def accessed(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The entries with access_count raised by the lookups of ``wanted`` (column key, a row a lookup)."""
+    looked = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("_looked"))
+    return cache.join(looked, "key", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_looked", F.lit(0))).drop("_looked").select(*cache.columns)
+
+
+def downstream_rows(lineage: DataFrame, changed: DataFrame) -> DataFrame:
+    """Ids of all rows made from changed ones, and of those (column row_id): lineage is (row_id, source_row_id).
 
-    One join for each step of the lineage; stops when a step adds nothing.
+    One join of the written frontier for each step of the lineage, until a step reaches no new row; cycles end there too.
     """
-    spark = lineage.sparkSession
-    edges = lineage.select("row_id", "source_row_id").where("row_id is not null and source_row_id is not null")
-    edges.createOrReplaceTempView("lineage_edges")
-    changed.select("row_id").createOrReplaceTempView("lineage_changed")
-    return spark.sql(
-        f"""WITH RECURSIVE down(row_id, depth) AS (
-              SELECT row_id, 0 FROM lineage_changed
-              UNION ALL
-              SELECT e.row_id, d.depth + 1 FROM down d JOIN lineage_edges e ON e.source_row_id = d.row_id WHERE d.depth < {max_depth})
-            SELECT DISTINCT row_id FROM down"""
-    )
+    edges = lineage.select("row_id", F.col("source_row_id").alias("_from")).where("row_id is not null and _from is not null")
+    frontier = shared.written(changed.select("row_id").where("row_id is not null").distinct(), "lineage")
+    reached = frontier
+    while frontier.take(1):
+        step = edges.join(frontier.select(F.col("row_id").alias("_from")), "_from").select("row_id").distinct()
+        frontier = shared.written(step.join(reached, "row_id", "left_anti"), "lineage")
+        reached = reached.unionAll(frontier)
+    return reached
 
 
 def dataset_hash(df: DataFrame, *columns: str) -> DataFrame:

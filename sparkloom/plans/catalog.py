@@ -5,6 +5,7 @@ A query applies its operator to whole tables. Each SQL text stands beside its qu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from sparkloom.functions import scores, text
 from sparkloom.operators import cache, filters, mining
 from sparkloom.plans import runs, stages
 from sparkloom.plans.config import Criterion, Rubric
+from sparkloom.sources import shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,7 +416,8 @@ def _cache(spark, sf_dir):
     key = ids.cache_key(F.lit("label"), F.col("doc_id"), F.lit("p1"), F.lit("m1"), F.lit("s1"))
     value = F.concat(F.col("quality").cast("string"), F.lit("/"), F.col("toxic").cast("string"))
     stage = F.when(F.col("doc_id") % 2 == 0, "label").otherwise("score")
-    return l.select("doc_id", key.alias("key"), stage.alias("stage_name"), F.lit("p1").alias("prompt_hash"), F.lit("m1").alias("model_hash"), F.lit("s1").alias("sampling_hash"), value.alias("value"), F.md5(value.cast("binary")).alias("output_hash"), F.length(value).cast("bigint").alias("size_bytes"))
+    size = F.length(value) + F.length(F.col("doc_id").cast("string"))
+    return l.select("doc_id", key.alias("key"), stage.alias("stage_name"), F.lit("p1").alias("prompt_hash"), F.lit("m1").alias("model_hash"), F.lit("s1").alias("sampling_hash"), value.alias("value"), F.md5(value.cast("binary")).alias("output_hash"), size.cast("bigint").alias("size_bytes"))
 
 
 @query("SELECT d.doc_id, l.quality || '/' || l.toxic AS value FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -427,7 +430,7 @@ def cache_misses(spark, sf_dir):
     return cache.misses(_keyed(spark, sf_dir).select("doc_id", "key"), _cache(spark, sf_dir)).select("doc_id")
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'label' ELSE 'score' END AS stage_name, count(*) AS entries, sum(3)::BIGINT AS bytes FROM labels GROUP BY ROLLUP(1)")
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'label' ELSE 'score' END AS stage_name, count(*) AS entries, sum(3 + length(doc_id::VARCHAR))::BIGINT AS bytes FROM labels GROUP BY ROLLUP(1)")
 def cache_stats(spark, sf_dir):
     return cache.stats(_cache(spark, sf_dir))
 
@@ -439,10 +442,12 @@ def cache_hit_rate(spark, sf_dir):
     return cache.hit_rate(d.join(l, "doc_id", "left").withColumn("status", F.coalesce("hit", F.lit("success"))))
 
 
-@query("SELECT doc_id, true AS intact FROM labels WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 7 <> 0 AS intact FROM labels WHERE doc_id % 2 = 0")
 def cache_validity(spark, sf_dir):
+    """Of entries with damaged (every third) and lost (every seventh) values, those still valid and whether they are intact."""
+    damaged = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.concat("value", F.lit("x"))).otherwise(F.col("value"))
     now = spark.createDataFrame([("label", "p1", "m1", "s1"), ("score", "p2", "m1", "s1")], "stage_name string, prompt_hash string, model_hash string, sampling_hash string")
-    return cache.intact(cache.valid(_cache(spark, sf_dir), now)).select("doc_id", "intact")
+    return cache.intact(cache.valid(_cache(spark, sf_dir).withColumn("value", damaged), now)).select("doc_id", "intact")
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id % 2 <> 0")
@@ -487,3 +492,55 @@ def status_counts(spark, sf_dir):
 def ablation_expand(spark, sf_dir):
     axis = lambda name, *v: spark.createDataFrame([(float(x),) for x in v], f"{name} double")
     return runs.expand_table({"region": table(spark, sf_dir, "region").select(F.col("r_name").alias("region")), "temperature": axis("temperature", 0.0, 0.7), "top_p": axis("top_p", 0.9, 1.0)})
+
+
+def _graph() -> runs.Graph:
+    return runs.Graph("catalog").add(stages.label("label", ("en", "xx"))).add(stages.row_filter("keep", "label_primary", "eq", "en"), "label")
+
+
+def _run_twice(spark, sf_dir) -> str:
+    """Two runs over all documents with one cache and different run ids; the folder of the second."""
+    rule = stages.RuleBackend(lambda s: '{"labels": ["' + ("en" if " the " in s else "xx") + '"]}')
+    data = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "text", "n_chars")
+    at = f"{shared.folder(spark).rstrip('/')}/catalog-run-{uuid.uuid4().hex}"
+    for name, rows in (("a", data.where("n_chars % 3 <> 0")), ("b", data)):
+        runs.run(_graph(), rows, f"{at}/{name}", stages.Context(name, backend=rule), seed=7, cache_path=f"{at}/cache")
+    return f"{at}/b"
+
+
+_RUN_SEED = _seed("'sample'", _seed("'row'", _seed("'stage'", "'7'", "'label'"), "doc_id"), "'0'")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS row_id, CASE WHEN n_chars % 3 <> 0 THEN 'cached' ELSE 'success' END AS status, {_RUN_SEED} AS seed FROM documents")
+def run_records_with_cache(spark, sf_dir):
+    """Row records of a run whose cache holds the answers to two thirds of the rows, under seeds that follow from the run's."""
+    return spark.read.parquet(f"{_run_twice(spark, sf_dir)}/records/stage_name=label").select("row_id", "status", "seed")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS row_id, 'en' AS label_primary FROM documents WHERE contains(coalesce(text, ''), ' the ')")
+def run_labels_through_a_backend(spark, sf_dir):
+    """The last output of a run whose requests, answers and parsing all go through the stages."""
+    return spark.read.parquet(f"{_run_twice(spark, sf_dir)}/stages/keep").select("row_id", "label_primary")
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 0 THEN x ELSE 0 END)::DOUBLE[]), 6) AS half FROM embeddings")
+def vector_cosine(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    half = F.transform(v, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.lit(0.0)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.cosine(v, half), 6).alias("half"))
+
+
+@query("SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS first, round(embedding[2] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS second FROM embeddings")
+def vector_normalised(spark, sf_dir):
+    unit = scores.normalized(F.col("embedding").cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(unit, F.lit(0)), 6).alias("first"), F.round(F.get(unit, F.lit(1)), 6).alias("second"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def table_round_trip(spark, sf_dir):
+    """Every document written and read again: partitioned Parquet and JSON lines joined on the id."""
+    at = f"{shared.folder(spark).rstrip('/')}/catalog-tables-{uuid.uuid4().hex}.v1"
+    d = table(spark, sf_dir, "documents")
+    tables.write_table(d.select("doc_id", "lang", "source"), f"{at}/a", "parquet", partition_by=["source"], compression="zstd")
+    tables.write_table(d.select("doc_id", "n_chars"), f"{at}/b", "jsonl", rows_per_file=1000)
+    return tables.read_table(spark, f"{at}/a", "parquet").join(tables.read_table(spark, f"{at}/b", "jsonl"), "doc_id").select("doc_id", "lang", "source", "n_chars")

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity
+from sparkloom.operators import cache
 from sparkloom.operators.cache import dataset_hash
-from sparkloom.plans.stages import Context, Stage
+from sparkloom.plans import stages as stages_module
+from sparkloom.plans.stages import Context, Stage, infer
+from sparkloom.sources import shared
 from sparkloom.sources.environment import snapshot
 from sparkloom.sources.tables import digest
 
@@ -63,7 +66,13 @@ class Graph:
         return done
 
     def upstream(self, name: str) -> set[str]:
-        return set().union(*({n} | self.upstream(n) for n in self.needs[name])) if self.needs[name] else set()
+        found: set[str] = set()
+        todo = list(self.needs[name])
+        while todo:
+            if (n := todo.pop()) not in found:
+                found.add(n)
+                todo += self.needs[n]
+        return found
 
     def downstream(self, *names: str) -> set[str]:
         return {s for s in self.stages if self.upstream(s) & set(names)}
@@ -121,23 +130,61 @@ def _input(parts: list[DataFrame], key: str) -> DataFrame:
     return reduce(add, parts)
 
 
-def run(graph: Graph, data: DataFrame, folder: str, ctx: Context | None = None, seed: int = 42, only: set[str] | None = None, key: str = "row_id") -> Manifest:
+def _answered(stage: Stage, source: DataFrame, ctx: Context, folder: str, cache_path: str | None, key: str) -> DataFrame:
+    """``source`` with generated_text and error: cached answers where there are, new ones for the other rows.
+
+    New answers are written before they are used, so a retried task does not ask again; those without an error go to the cache.
+    A row record for each row says which it was.
+    """
+    spark = source.sparkSession
+    asked = stage.requests(source, ctx)
+    sampling = F.to_json(F.array_sort(F.map_entries("sampling_params")))
+    prompt, params = F.md5(F.coalesce("request", F.lit("")).cast("binary")), F.md5(sampling.cast("binary"))
+    asked = asked.withColumn("_key", identity.cache_key(F.lit(stage.fingerprint()), F.col(key).cast("string"), prompt, F.lit(digest(dataclasses.asdict(ctx.model))), params))
+    held = spark.read.parquet(cache_path) if cache_path and shared.exists(spark, cache_path) else None
+    mine = None if held is None else cache.latest(held.where(F.col("stage_name") == stage.name)).select(F.col("key").alias("_key"), F.col("value").alias("generated_text"))
+    fresh = asked if mine is None else asked.join(mine, "_key", "left_anti")
+    if ctx.backend is None:
+        raise ValueError(f"{stage.name}: no backend and no generated_text column")
+    path = f"{folder}/generated/{stage.name}"
+    infer(fresh, ctx.backend, batch=ctx.model.batch_size).withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("error")).write.mode("overwrite").parquet(path)
+    answers = spark.read.parquet(path)
+    if mine is not None:
+        answers = answers.unionByName(asked.join(mine, "_key").withColumns({"error": F.lit(None).cast("string"), "status": F.lit("cached")}))
+        answers = shared.written(answers, "answers")  # the cache that it reads changes below
+    record = answers.select(F.col(key).cast("string").alias("row_id"), "status", F.col("sampling_params")["seed"].cast("long").alias("seed"), F.col("_key").alias("cache_key"), prompt.alias("input_hash"), F.md5(F.col("generated_text").cast("binary")).alias("output_hash"), "error")
+    record.write.mode("overwrite").parquet(f"{folder}/records/stage_name={stage.name}")
+    if cache_path:
+        new = answers.where("status = 'success'")
+        value = F.coalesce("generated_text", F.lit(""))
+        entries = new.select(F.lit(stage.name).alias("stage_name"), F.col("_key").alias("key"), F.col(key).cast("string").alias("row_id"), prompt.alias("prompt_hash"), F.lit(digest(dataclasses.asdict(ctx.model))).alias("model_hash"), params.alias("sampling_hash"), value.alias("value"), F.md5(value.cast("binary")).alias("output_hash"), F.octet_length(value).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("access_count"), F.current_timestamp().alias("created_at"))
+        cache.put(entries, cache_path)
+    return answers.drop("_key", "status")
+
+
+def run(graph: Graph, data: DataFrame, folder: str, ctx: Context | None = None, seed: int = 42, only: set[str] | None = None, key: str = "row_id", cache_path: str | None = None, earlier: str | None = None) -> Manifest:
     """Run the stages in order, each written to folder/stages/<name>; ``only`` reads the others from an earlier run.
 
-    The manifest is saved at the start and after each stage, so that a run that broke off can be resumed.
+    The manifest is saved at the start and after each stage, so that a run that broke off can be resumed. The seeds of stages and rows
+    follow from ``seed``. With ``cache_path`` only rows without a cached answer are asked for. ``earlier`` is the folder of the run
+    whose outputs stand for the stages outside ``only`` (this one's by default).
     """
-    ctx = ctx or Context()
+    ctx = dataclasses.replace(ctx or Context(), seed=identity.validate_seed(seed))
     spark = data.sparkSession
     manifest = Manifest(ctx.run_id, graph.fingerprint(), seed, environment=snapshot(spark), started_at=_now())
     manifest.save(folder)
     outputs: dict[str, DataFrame] = {}
     for name in graph.order():
         stage = graph.stages[name]
-        path = os.path.join(folder, "stages", name)
+        path = f"{folder}/stages/{name}"
+        counts = {"cached": 0, "success": 0, "error": 0}
         if only is None or name in only:
             source = _input([outputs[n] for n in graph.needs[name]], key) if graph.needs[name] else data
             began = time.time()
             try:
+                if stage.asks(source):
+                    source = _answered(stage, source, ctx, folder, cache_path, key)
+                    counts |= {r["status"]: r["count"] for r in spark.read.parquet(f"{folder}/records/stage_name={name}").groupBy("status").count().collect()}
                 stage.transform(source, ctx).write.mode("overwrite").parquet(path)
             except Exception:
                 manifest.status = "failed"
@@ -146,16 +193,46 @@ def run(graph: Graph, data: DataFrame, folder: str, ctx: Context | None = None,
                 raise
             took = time.time() - began
         else:
+            path = f"{earlier or folder}/stages/{name}"
             took = 0.0
         outputs[name] = spark.read.parquet(path)
         n, content = dataset_hash(outputs[name]).first()
-        manifest.stages.append({"name": name, "kind": stage.kind, "version": stage.version, "hash": stage.fingerprint(), "needs": list(graph.needs[name]), "rows": n, "output_hash": content, "seconds": round(took, 3), "status": "complete"})
+        total = counts["cached"] + counts["success"]
+        manifest.stages.append({"name": name, "kind": stage.kind, "version": stage.version, "hash": stage.fingerprint(), "needs": list(graph.needs[name]), "rows": n, "output_hash": content, "seconds": round(took, 3), "status": "complete", "hits": counts["cached"], "misses": counts["success"], "errors": counts["error"], "hit_rate": counts["cached"] / total if total else 0.0})
         manifest.save(folder)
     manifest.status, manifest.ended_at = "complete", _now()
     manifest.save(folder)
     return manifest
 
 
+def replay(graph: Graph, data: DataFrame, earlier: str, folder: str, mode: str = "verify", stages: tuple[str, ...] = (), ctx: Context | None = None, key: str = "row_id", cache_path: str | None = None) -> tuple[Manifest, list[str]]:
+    """Run what a replay of an earlier run executes, with its seed; returns the new manifest and the stages whose output differs."""
+    before = Manifest.load(earlier)
+    todo = plan_replay(before, mode, stages)
+    again = run(graph, data, folder, ctx, before.seed, set(todo.execute), key, cache_path, earlier)
+    return again, verify(before, again)
+
+
+def resume(graph: Graph, data: DataFrame, folder: str, ctx: Context | None = None, key: str = "row_id", cache_path: str | None = None) -> Manifest:
+    """Finish a run that broke off: complete, unchanged stages are read; with a cache, answered rows are not asked for again."""
+    path = f"{folder}/manifest.json"
+    before = Manifest.load(folder) if os.path.exists(path) else None
+    return run(graph, data, folder, ctx, before.seed if before else 42, set(plan_resume(graph, before)), key, cache_path)
+
+
+def graph_of(config: dict[str, Any]) -> Graph:
+    """A graph from a configuration: name, version and stages with name, kind, params and after (by default the stage before)."""
+    g = Graph(config["name"], str(config.get("version", "1")))
+    last: list[str] = []
+    for s in config["stages"]:
+        if (make := getattr(stages_module, s["kind"], None)) is None:
+            raise ValueError(f"unknown stage: {s['kind']}")
+        params = {k: tuple(v) if isinstance(v, list) else v for k, v in s.get("params", {}).items()}
+        g.add(make(s["name"], **params), *s.get("after", last))
+        last = [s["name"]]
+    return g
+
+
 @dataclass(frozen=True)
 class Replay:
     """Which stages a replay executes, verifies, and takes as they are."""

@@ -39,6 +39,9 @@ class RuleBackend:
 @dataclass(frozen=True)
 class Context:
     run_id: str = "run"
+    #: The run's seed; those of stages, rows and attempts follow from it alone, whatever the run id.
+    seed: int = 42
+    attempt: int = 0
     backend: Backend | None = None
     model: Model = field(default_factory=lambda: Model("rule"))
     sampling: Sampling = field(default_factory=Sampling)
@@ -49,7 +52,9 @@ class Context:
 def sampling_map(stage: str, ctx: Context, row: Column) -> Column:
     """Base parameters and the row's own seed, as a map."""
     base = F.create_map(*[F.lit(str(x)) for kv in ctx.sampling.params().items() for x in kv]) if ctx.sampling.params() else F.create_map().cast("map<string,string>")
-    return last_wins(base, F.create_map(F.lit("seed"), identity.row_seed(F.concat_ws(":", F.lit(ctx.run_id), F.lit(stage)), row).cast("string")))
+    of_stage = identity.stage_seed(F.lit(str(ctx.seed)), F.lit(stage)).cast("string")
+    of_row = identity.row_seed(of_stage, row).cast("string")
+    return last_wins(base, F.create_map(F.lit("seed"), identity.sample_seed(of_row, F.lit(str(ctx.attempt))).cast("string")))
 
 
 def last_wins(first: Column, second: Column) -> Column:
@@ -108,15 +113,24 @@ class Stage:
         """All parameters count."""
         return digest({"name": self.name, "kind": self.kind, "version": self.version, "params": dict(self.params)})
 
+    def asks(self, df: DataFrame) -> bool:
+        """True if the stage sends requests for ``df``: one with a generated_text column needs none."""
+        return self.request is not None and "generated_text" not in df.columns
+
+    def requests(self, df: DataFrame, ctx: Context) -> DataFrame:
+        """``df`` with the request and the sampling parameters of each row."""
+        require_columns(df, list(self.needs))
+        out = df.withColumn("request", self.request()).withColumn("sampling_params", sampling_map(self.name, ctx, F.col("row_id")))
+        return with_overrides(out, ctx.overrides)
+
     def transform(self, df: DataFrame, ctx: Context | None = None) -> DataFrame:
         ctx = ctx or Context()
         require_columns(df, list(self.needs))
         out = df
-        if self.request is not None and "generated_text" not in df.columns:
+        if self.asks(df):
             if ctx.backend is None:
                 raise ValueError(f"{self.name}: no backend and no generated_text column")
-            out = out.withColumn("request", self.request()).withColumn("sampling_params", sampling_map(self.name, ctx, F.col("row_id")))
-            out = infer(with_overrides(out, ctx.overrides), ctx.backend, batch=ctx.model.batch_size)
+            out = infer(self.requests(df, ctx), ctx.backend, batch=ctx.model.batch_size)
         return self.parse(out) if self.parse else out
 
 

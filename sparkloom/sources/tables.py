@@ -17,7 +17,7 @@ FORMATS = {"parquet", "json", "jsonl", "csv"}
 
 
 def format_of(path: str, given: str | None = None) -> str:
-    """The format by name, else by suffix; a path without a suffix is a folder of Parquet files."""
+    """The format by name, else by suffix; a folder, or a path without a suffix, holds Parquet files unless its suffix says otherwise."""
     if given is not None:
         if given not in FORMATS:
             raise ValueError(f"unknown format: {given}")
@@ -25,7 +25,7 @@ def format_of(path: str, given: str | None = None) -> str:
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if not suffix:
         return "parquet"
-    return SUFFIXES.get(suffix, "json")
+    return SUFFIXES.get(suffix, "parquet" if os.path.isdir(path) else "json")
 
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, schema: T.StructType | None = None, partitions: int = -1) -> DataFrame:

@@ -11,8 +11,13 @@ from sparkloom.functions import identity
 
 
 def rows(spark: SparkSession, path: str, schema: T.StructType, id_cols: list[str], time_col: str, late: str = "1 hour", files: int = 100) -> DataFrame:
-    """Parquet files as they arrive; a repeated row within ``late`` is dropped by its content-derived id."""
+    """Parquet files as they arrive; a repeated row within ``late`` is dropped by its content-derived id.
+
+    Times without a zone are read in the session's time zone: a watermark needs points in time.
+    """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    if isinstance(schema[time_col].dataType, T.TimestampNTZType):
+        source = source.withColumn(time_col, F.col(time_col).cast("timestamp"))
     named = source.withColumn("row_id", F.concat(F.lit("row_"), identity.short_hash(*[F.col(c) for c in id_cols])))
     return named.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["row_id"])
 

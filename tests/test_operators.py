@@ -201,3 +201,46 @@ def test_stream_drops_repeats(spark, tmp_path):
     s = ingest.rows(spark, str(tmp_path / "in"), df.schema, ["event_id"], "ts")
     ingest.to_table(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()
+
+
+def test_a_second_run_asks_for_nothing(spark, tmp_path):
+    data = spark.createDataFrame([("1", "the cat"), ("2", "le chat"), ("3", None)], "row_id string, text string")
+    g = runs.Graph("g").add(stages.label("label", ("en", "xx"))).add(stages.row_filter("keep", "label_primary", "eq", "en"), "label")
+    store = str(tmp_path / "cache")
+    first = runs.run(g, data, str(tmp_path / "a"), stages.Context("one", backend=_backend()), seed=5, cache_path=store)
+    again, differ = runs.replay(g, data, str(tmp_path / "a"), str(tmp_path / "b"), "verify", ctx=stages.Context("two", backend=_backend()), cache_path=store)
+    assert (first.stages[0]["hits"], first.stages[0]["misses"]) == (0, 3)
+    assert (again.stages[0]["hits"], again.stages[0]["misses"], again.stages[0]["hit_rate"]) == (3, 0, 1.0) and differ == []
+    other = runs.run(g, data, str(tmp_path / "c"), stages.Context("one", backend=_backend()), seed=6)
+    assert runs.verify(first, other) != []  # other seeds, other sampling parameters
+    part, differ = runs.replay(g, data, str(tmp_path / "a"), str(tmp_path / "d"), "selective", ("keep",), stages.Context("x"))
+    assert [s["seconds"] > 0 for s in part.stages] == [False, True] and differ == []
+    records = spark.read.parquet(str(tmp_path / "b" / "records"))
+    assert {r["status"] for r in records.collect()} == {"cached"} and records.where("output_hash is null").count() == 0
+    assert cache.clear(spark, store, "label") and not cache.clear(spark, store, "label")
+    assert runs.resume(g, data, str(tmp_path / "a"), stages.Context("one")).status == "complete"
+
+
+def test_lineage_of_a_long_chain_and_a_cycle(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(0, 70), (200, 199), (None, 3), (4, None)], "row_id long, source_row_id long")
+    got = [r["row_id"] for r in cache.downstream_rows(edges, spark.createDataFrame([(5,), (5,), (None,)], "row_id long")).collect()]
+    assert sorted(got) == list(range(71))
+
+
+def test_seeds_are_checked():
+    for bad in (-1, 1 << 32, "3", True, None):
+        with pytest.raises(ValueError):
+            identity.validate_seed(bad)
+    assert identity.SeedPolicy(7).seed() == 7 and 0 <= identity.SeedPolicy(None).seed() < 1 << 32
+
+
+def test_run_by_command(spark, tmp_path, capsys):
+    import yaml
+
+    from sparkloom import cli
+
+    spark.createDataFrame([("1", "the cat", 3), ("2", "le chat", 9)], "row_id string, text string, score int").write.parquet(str(tmp_path / "in.v1.2"))
+    config = {"name": "c", "data": str(tmp_path / "in.v1.2"), "stages": [{"kind": "row_filter", "name": "low", "params": {"field": "score", "operator": "lt", "value": 5}}]}
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(config))
+    assert cli.main(["run", str(tmp_path / "c.yaml"), str(tmp_path / "out")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["stages"] == [["low", 1, "complete"]]
