@@ -9,7 +9,7 @@
    What it finds is verified by the cosine in double precision. A pair counts in one shard only: that of the least common
    cluster (and the blocks' own pair).
 5. ``audit`` measures recall against brute force on a bounded sample of queries; below ``GOAL`` the search runs again with
-   twice the overlap.
+   twice the overlap, up to eight times; a recall below ``LEAST`` is an error.
 
 Shards report sums of links and spanning edges, never all pairs; components come from the edges.
 
@@ -36,7 +36,8 @@ CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
 #: How far below the threshold a node may be for the search to expand through it.
 SLACK = 0.1
 BEAM, QUERIES_AT_ONCE = 8, 256
-AUDIT_QUERIES, GOAL = 128, 0.97
+#: Nodes that the audit searches by brute force, the recall that ends the search, and the least that is returned.
+AUDIT_QUERIES, GOAL, LEAST = 1024, 0.97, 0.9
 
 
 def unit(rows) -> np.ndarray:
@@ -153,7 +154,7 @@ def _shards(nodes: DataFrame, overlap: int) -> DataFrame:
                     lists.loc[part.index] = pd.Series(np.sort(np.argpartition(-s, w - 1, axis=1)[:, :w], axis=1).tolist(), index=part.index)
             yield f.assign(clusters=lists)
 
-    placed = write_shared(nodes.select("node", "weight", "dim", "v").mapInPandas(place, "node long, weight long, dim int, v array<float>, clusters array<int>"), "clusters")
+    placed = write_shared(nodes.select("node", "weight", "dim", "v").mapInPandas(place, f"node long, weight long, dim int, v {nodes.schema['v'].dataType.simpleString()}, clusters array<int>"), "clusters")
     each = placed.select("*", F.explode("clusters").alias("cluster"))
     full = each.groupBy("dim", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
     # blocks of half a shard, so that a pair of blocks is one shard; only large clusters have more than one
@@ -234,7 +235,8 @@ def links(nodes: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> D
 
 
 def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, queries: int = AUDIT_QUERIES) -> float:
-    """Recall of ``found`` (node, links) against brute force, on a bounded sample of nodes drawn by hash."""
+    """Recall of ``found`` (node, links) against brute force, on a bounded sample of nodes drawn by hash: the lesser of the part of all links
+    and of the mean part over nodes that have links, so that one large group does not speak for all."""
     spark = nodes.sparkSession
     rows = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(queries).collect()
     if not rows:
@@ -254,23 +256,30 @@ def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, queries: i
         yield pd.DataFrame({"node": [x[0] for x in q], "true_links": total})
 
     true = nodes.mapInPandas(scan, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    both = true.join(found, "node", "left").agg(F.sum("true_links").alias("t"), F.sum(F.least("true_links", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+    got = F.least("true_links", F.coalesce("links", F.lit(0)))
+    linked = true.where("true_links > 0").join(found, "node", "left")
+    both = linked.agg(F.sum("true_links").alias("t"), F.sum(got).alias("f"), F.avg(got / F.col("true_links")).alias("each")).first()
+    return min(both["f"] / both["t"], both["each"]) if both["t"] else 1.0
 
 
 def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = df.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # single precision only where the table has no more
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     nodes = write_shared(rows.where("fine").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")).select("least", F.col("least").alias("node"), "weight", F.size("v").alias("dim"), "v"), "nodes")
     if nodes.groupBy("node").count().where("count > 1").take(1):  # an id on several vectors: number nodes by vector
         nodes = nodes.withColumn("node", F.xxhash64("v"))
-    for width in (overlap, 2 * overlap):
+    for width in (overlap, 2 * overlap, 4 * overlap, 8 * overlap):
         found = write_shared(links(nodes, cosine, width), "links")
         totals = found.groupBy("node").agg(F.sum("links").alias("links"))
-        if audit(nodes, totals, cosine) >= GOAL:
+        recall = audit(nodes, totals, cosine)
+        if recall >= GOAL:
             break
+    if recall < LEAST:
+        raise RuntimeError(f"the search finds {recall:.3f} of the links, less than {LEAST}")
     groups = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -12,10 +12,12 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address figcapti
 RAW = ("script", "style", "textarea", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+#: Possessive, so that each character is read once; a tag, quote or comment that never ends takes the rest of the page, as in HTML.
+_INSIDE = r"(?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+(?:>|$)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?"
+    rf"|<(?P<raw>{'|'.join(RAW)})\b{_INSIDE}.*?(?:</(?P=raw)\s*>|$)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_INSIDE})",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|href)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -89,7 +91,7 @@ def read(source: str) -> Page:
                     if stack[i][0] == name:
                         del stack[i:]
                         break
-            elif not m["attrs"].endswith("/"):
+            elif not m["attrs"].endswith("/>"):
                 stack.append((name, step(name, m["attrs"])))
         elif name in BLOCKS:
             flush()

@@ -40,7 +40,8 @@ HASHES = 3
 #: Sizes of the n-grams that are read where no n-gram of NGRAM letters is known, in this order, and how many of a language are held.
 SHORT = (3, 2, 1)
 SHORT_GRAMS = 20_000
-MAX_LANGUAGES = 64
+#: Languages of one word of a mask.
+WORD = 64
 #: Arrays of a slice take about 60 bytes a character.
 BATCH_BYTES = 256 << 10
 UNKNOWN = "und"
@@ -71,6 +72,11 @@ def gram_hashes(rows: list[str], size: int = NGRAM) -> tuple[np.ndarray, np.ndar
     return h, np.minimum(np.stack([starts, np.maximum(starts, ends - size + 1)], axis=1), len(h))  # the last rows may be too short for one
 
 
+def has_letter(text: str) -> bool:
+    """True if a text has a letter; figures such as a raised two count for word characters but are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -81,8 +87,9 @@ def _slots(h: np.ndarray, size: int) -> list[np.ndarray]:
 
 @dataclasses.dataclass
 class Model:
-    """langs in order of their bits; slots: the bit-sliced filter; false: each language's false-positive rate; prior: each
-    language's share of the labelled rows; short: for each short size, sorted hashes of n-grams and their masks."""
+    """langs in order of their bits; slots: the bit-sliced filter, a row for each word of the masks; false: each language's
+    false-positive rate; prior: each language's share of the labelled rows; short: for each short size, sorted hashes of n-grams and
+    their masks, a row for each word."""
 
     langs: list[str]
     slots: np.ndarray
@@ -92,41 +99,40 @@ class Model:
 
     @staticmethod
     def build(langs: list[str], grams: np.ndarray, masks: np.ndarray, size: int = SLOTS) -> Model:
-        if len(langs) > MAX_LANGUAGES:
-            raise ValueError(f"at most {MAX_LANGUAGES} languages fit a mask")
         kind = np.uint8 if len(langs) <= 8 else np.uint64
-        slots = np.zeros(size, kind)
+        slots = np.zeros((len(masks), size), kind)
         for at in _slots(grams, size):
-            np.bitwise_or.at(slots, at, masks.astype(kind))
-        filled = np.array([np.count_nonzero(slots & kind(1 << i)) for i in range(len(langs))]) / size
+            for row, mask in zip(slots, masks.astype(kind)):
+                np.bitwise_or.at(row, at, mask)
+        filled = np.array([np.count_nonzero(slots[i // WORD] & kind(1 << i % WORD)) for i in range(len(langs))]) / size
         return Model(langs, slots, filled**HASHES)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        first, *rest = _slots(h, len(self.slots))
-        out = self.slots[first]
+        first, *rest = _slots(h, self.slots.shape[1])
+        out = self.slots[:, first]
         for at in rest:
-            out = out & self.slots[at]
+            out = out & self.slots[:, at]
         return out
 
     def predict(self, rows: list[str]) -> tuple[list[str], np.ndarray]:
         h, spans = gram_hashes([x.lower() for x in rows])
-        found = self.masks(h)
         n_langs = len(self.langs)
         if n_langs == 0:
             return [UNKNOWN] * len(rows), np.zeros(len(rows))
-        popcount = np.bitwise_count(found)
+        found = self.masks(h)
+        popcount = np.bitwise_count(found).sum(axis=0)
         weight = np.where(popcount > 0, 1.0 / np.maximum(popcount, 1), 0.0) if n_langs > 1 else np.ones(len(h))
         size = np.maximum(spans[:, 1] - spans[:, 0], 1)
         hits = np.empty((len(rows), n_langs))
         for i in range(n_langs):
-            bit = ((found >> found.dtype.type(i)) & found.dtype.type(1)) * weight
+            bit = ((found[i // WORD] >> found.dtype.type(i % WORD)) & found.dtype.type(1)) * weight
             total = np.concatenate([[0.0], np.cumsum(bit)])
             hits[:, i] = (total[spans[:, 1]] - total[spans[:, 0]]) / size
         # an n-gram of no language shows this one's bit with the false-positive rate
         hits = np.maximum((hits - self.false) / (1 - self.false), 0)
         best, total = hits.argmax(axis=1), hits.sum(axis=1)
         score = np.where(total > 0, hits.max(axis=1) / np.maximum(total, 1e-12), 0.0)
-        letters = np.array([bool(_LETTER.search(x)) for x in rows])
+        letters = np.array([has_letter(x) for x in rows])
         score = np.where(letters, score, 0.0)
         for i in np.flatnonzero(letters & (total <= 0)).tolist():
             best[i], score[i] = self.guess(rows[i].lower())
@@ -135,14 +141,14 @@ class Model:
     def guess(self, row: str) -> tuple[int, float]:
         """Language and score of a text with a letter by its short n-grams, at last by the labelled rows alone."""
         for n in SHORT:
-            hashes, masks = self.short.get(n, (np.zeros(0, np.uint64),) * 2)
+            hashes, masks = self.short.get(n, (np.zeros(0, np.uint64), np.zeros((1, 0), np.uint64)))
             h, _ = gram_hashes([row], n)
             if not len(hashes) or not len(h):
                 continue
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            found = masks[at[hashes[at] == h]]
-            if len(found):
-                bits = found[:, None] >> np.arange(len(self.langs), dtype=np.uint64) & np.uint64(1)
+            found = masks[:, at[hashes[at] == h]]
+            if found.size:
+                bits = np.stack([found[i // WORD] >> np.uint64(i % WORD) & np.uint64(1) for i in range(len(self.langs))], axis=1)
                 hits = (bits / bits.sum(axis=1, keepdims=True)).sum(axis=0)
                 return int(hits.argmax()), float(hits.max() / hits.sum())
         prior = np.ones(len(self.langs)) / len(self.langs) if self.prior is None else self.prior
@@ -154,7 +160,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     data = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in data.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(SLOTS, np.uint8), np.zeros(0))
+        return Model([], np.zeros((1, SLOTS), np.uint8), np.zeros(0))
     langs = sorted(sizes)
     part = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows / sizes[k])))])
     sample = data.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(part, F.col("lang")) * float(1 << 20))
@@ -186,7 +192,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
         np.add.at(rate, (at, part["lang"].map(bit).to_numpy(np.int64)), part["n"].to_numpy(float))
         rate /= np.maximum(rate.sum(axis=0), 1)
         holds = (rate > 0) & (rate >= share * rate.max(axis=1, keepdims=True, initial=0))
-        tables[size] = ids, (holds * (np.uint64(1) << np.arange(len(langs), dtype=np.uint64))).sum(axis=1).astype(np.uint64)
+        parts = [holds[:, i : i + WORD] for i in range(0, len(langs), WORD)]
+        tables[size] = ids, np.stack([(x * (np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64))).sum(axis=1).astype(np.uint64) for x in parts])
     model = Model.build(langs, *tables.pop(NGRAM))
     rows_of = np.array([sizes[k] for k in langs], float)
     return dataclasses.replace(model, prior=rows_of / rows_of.sum(), short=tables)
@@ -200,7 +207,7 @@ def _by_count():
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, lang_pred, score) of every row; only the text decides."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS bytes for up to eight languages, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS bytes for up to eight languages, eight times that for each 64 else, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -77,7 +77,7 @@ def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
     found = re.search(r"charset=[\"']?([\w-]+)", kind, re.I) or re.search(r"<meta[^>]{0,200}charset=[\"']?([\w-]+)", payload[:2048].decode("latin-1"), re.I)
     try:
         return payload.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # unknown, or a codec that is none for text
         return payload.decode("utf-8", "replace")
 
 
@@ -85,9 +85,9 @@ def derive(record_id: str, target: str | None, date: str, warc_headers: str | No
     """The metadata and the conversion record of one response, as rows of DERIVED."""
     status, headers, payload = split_http(block)
     page = read(decoded(headers, payload))
-    given = json.loads(warc_headers or "{}")
-    source_payload = given.get("WARC-Payload-Digest") or digest(payload)
-    source_block = given.get("WARC-Block-Digest") or digest(block)
+    given = {k.lower(): v for k, v in json.loads(warc_headers or "{}").items()}
+    source_payload = given.get("warc-payload-digest") or digest(payload)
+    source_block = given.get("warc-block-digest") or digest(block)
     fields = [("http-status", status), *((f"http-header-{k.lower()}" if k else "http-header", v) for k, v in headers)]
     fields += [("payload-digest", source_payload), ("block-digest", source_block), *(("outlink", x) for x in page.links)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
@@ -100,21 +100,28 @@ def derive(record_id: str, target: str | None, date: str, warc_headers: str | No
     return rows
 
 
-def derivatives(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, DERIVED columns): two records for each response record."""
+def derivatives(responses: DataFrame, id_col: str | None = "page_id") -> DataFrame:
+    """(id, DERIVED columns): two records for each response record; other kinds of records, where warc_type tells, have none.
+
+    Without ``id_col`` (or with one that DERIVED has, as rows of ``read_warc`` do) refers_to alone names the source.
+    """
+    names = [x.split()[0] for x in DERIVED.split(", ")]
+    own = [id_col] if id_col and id_col not in names else []
+    if "warc_type" in responses.columns:
+        responses = responses.where(F.lower("warc_type") == "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in DERIVED.split(", ")]
-        names = [x.split()[0] for x in DERIVED.split(", ")]
         for b in slices(batches, "block", BATCH_BYTES):
             rows, at = [], []
-            for i, source in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)))):
+            for i, source in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)))):
                 rows += derive(*source[:4], source[4] or b"")
                 at += [i, i]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[id_col, *names])
+            ids = [b.column(5).take(pa.array(at, pa.int64()))] if own else []
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[*own, *names])
 
-    kind = responses.schema[id_col].dataType.simpleString()
-    return responses.select(id_col, "record_id", "target_uri", "warc_date", "warc_headers", "block").mapInArrow(run, f"{id_col} {kind}, {DERIVED}")
+    kind = [f"{c} {responses.schema[c].dataType.simpleString()}, " for c in own]
+    return responses.select("record_id", "target_uri", "warc_date", "warc_headers", "block", *own).mapInArrow(run, "".join(kind) + DERIVED)
 
 
 def serialize(record_type: str, record_id: str, refers_to: str, target: str | None, date: str, content_type: str, block: bytes) -> bytes:
@@ -126,33 +133,54 @@ def serialize(record_type: str, record_id: str, refers_to: str, target: str | No
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, plain or in gzip members."""
-    while data[:2] == b"\x1f\x8b":
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, member by member where it holds gzip members; nothing is copied twice."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        yield from parse(d.decompress(data) + d.flush())
-        data = d.unused_data
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        parts = []
+        while at < len(view) and not d.eof:
+            part = view[at : at + (1 << 16)]
+            parts.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+        yield b"".join(parts)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a WARC file, plain or in gzip members, one at a time; header names in lower case."""
+    for member in unzipped(data):
+        at = 0
+        while (at := member.find(b"WARC/", at)) >= 0:
+            end = member.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            lines = member[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = headers.get("content-length", "0")
+            size = int(length) if length.isdecimal() else 0
+            yield headers, member[end + 4 : end + 4 + size]
+            at = end + 4 + size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(warc_type, RESPONSE columns) of all records of the files under ``path``; a file is one task's."""
+    """(warc_type, RESPONSE columns) of all records of the files under ``path``; a file is one task's, its records go on one by one."""
+    names = ["warc_type", *(x.split()[0] for x in RESPONSE.split(", "))]
+    kinds = [pa.string()] * 5 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = [(h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), json.dumps(h), block) for h, block in parse(data)]
-                kinds = [pa.string()] * 5 + [pa.binary()]
-                names = ["warc_type", *(x.split()[0] for x in RESPONSE.split(", "))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], names=names)
+            for i in range(b.num_rows):
+                rows, held = [], 0
+                for h, block in parse(b.column(0)[i].as_py()):
+                    rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), json.dumps(h), block))
+                    held += len(block)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"warc_type string, {RESPONSE}")

@@ -479,3 +479,46 @@ def test_fingerprints_of_null_and_extreme_ids(spark):
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t or "")) for i, t, _ in rows)
     top = next(r for r in got if r["doc_id"] == (1 << 63) - 1)
     assert top["edited_sha256"] == hashlib.sha256(b"u v").hexdigest() and top["near_next"] == 0.0
+
+
+def test_warc_files_of_many_members_are_read_and_derived(spark, tmp_path):
+    out = b""
+    for i in range(1000):
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={'idna' if i % 3 else 'utf-8'}\r\n\r\n<p>page {i}</p>".encode()
+        kind = "request" if i % 10 == 9 else "response"
+        record = f"WARC/1.0\r\nwarc-type: {kind}\r\nWarc-Record-Id: <urn:uuid:{i}>\r\nWARC-DATE: {warc.DATE}\r\ncontent-length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        z = zlib.compressobj(wbits=31)
+        out += z.compress(record) + z.flush()
+    (tmp_path / "many.warc.gz").write_bytes(out)
+    rows = warc.derivatives(warc.read_warc(spark, str(tmp_path)), "record_id").collect()
+    assert Counter(r["record_type"] for r in rows) == {"metadata": 900, "conversion": 900}
+    assert {r["refers_to"]: r["block"] for r in rows if r["record_type"] == "conversion"} == {f"<urn:uuid:{i}>": f"page {i}" for i in range(1000) if i % 10 != 9}
+
+
+def test_pages_that_never_end_are_read_once():
+    import time
+
+    began = time.time()
+    for page in ("<p>kept</p>" + "<a '" * 16000, "<p>kept</p>" + '<a "' * 16001, "<p>kept</p><script>" + "<" * 60000, "<p>kept</p>" + "<!-- " * 16000):
+        assert [b.text for b in html_blocks.read(page).blocks] == ["kept"]
+    assert time.time() - began < 2
+    assert [b.text for b in html_blocks.read('<div class="a>b" title=\'x>y\'>one<br/>two</div><div/>three').blocks] == ["one two", "three"]
+
+
+def test_language_id_of_more_languages_than_a_word_has_bits(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {k: ["".join(draw.choice(letters) for _ in range(6)) for _ in range(12)] for k in names}
+    rows = [(j, " ".join(draw.choice(stems[k]) for _ in range(30)), k) for j, k in enumerate(names * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df), keep=("lang",)).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    assert not langid.has_letter("² ½ 7 _") and langid.has_letter("²a")
+
+
+def test_vectors_of_doubles_are_compared_in_double_precision(spark):
+    a, b = 1.0, (1 / 0.95**2 - 1) ** 0.5
+    rows = [(0, [a, 0.0]), (1, [a, b * (1 - 1e-12)]), (2, [a, -b * (1 + 1e-12)]), (3, [0.0, -1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in flat_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3)}
