@@ -29,8 +29,8 @@ from tokenizers import Tokenizer, models
 
 from sparkloom.llm.common import slices, texts
 
-#: Pieces that one worker keeps; a full cache starts anew (about 220 bytes a piece).
-CACHE_PIECES = 250_000
+#: Pieces and words that one worker keeps; a full cache starts anew (about 220 bytes each).
+CACHE_PIECES, CACHE_WORDS = 700_000, 250_000
 #: Longer pieces are encoded each time.
 CACHED_LENGTH = 40
 BATCH_BYTES = 4 << 20
@@ -91,7 +91,7 @@ class Codec:
         if found is None:
             found = self._ids(match)
             if len(match) <= CACHED_LENGTH:
-                if len(self.words) >= CACHE_PIECES // 4:
+                if len(self.words) >= CACHE_WORDS:
                     self.words = {}
                 self.words[match] = found
         return found
