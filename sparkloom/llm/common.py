@@ -17,7 +17,10 @@ LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINT_DIR}"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"file://{LOCAL_CHECKPOINT_DIR}"
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
