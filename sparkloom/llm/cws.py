@@ -19,16 +19,46 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 64
-#: Samples of one row of generated code.
-AT_ONCE = 8
+#: Samples of one row of generated code; twice as many make a method that the JVM does not compile.
+AT_ONCE = 4
 #: Bits of a sample that stand in the fingerprint: two samples are mistaken for equal once in 65,536.
 SAMPLE_BITS = 16
 #: Ranges of ids at most; their first rows are read by the driver (ids alone).
 RANGES = 4096
+#: -ln(1 - v / 2) / v for v from 0 to 1 as a polynomial, highest power first; its relative error is below 2e-6.
+_LOG = np.polynomial.Chebyshev.interpolate(lambda v: -np.log1p(-v / 2) / v, 6, [0, 1]).convert(kind=np.polynomial.Polynomial).coef[::-1]
+
+
+def coins(x: str, places: int, width: int) -> list:
+    """(halvings, v, v) from the lowest ``places + 2 * width`` bits of a long, for ``gamma``.
+
+    The zeros below the second one of ``places`` fair bits, as two ones above the field end a run of zeros; two uniform numbers from 0 to 1.
+    """
+    bits = F.col(x).bitwiseAND(F.lit((1 << places) - 1)).bitwiseOR(F.lit(3 << places))
+    second = bits.bitwiseAND(bits - F.lit(1))
+    halvings = F.bit_count((second - F.lit(1)).bitwiseAND(F.bitwise_not(second))) - F.lit(1)
+    parts = [F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << width) - 1)) for s in (places, places + width)]
+    return [halvings.cast("double"), *[(v.cast("double") + F.lit(0.5)) * F.lit(1 / (1 << width)) for v in parts]]
+
+
+def gamma(halvings: str, *parts: str):
+    """A Gamma(2, 1) draw: the sum of two exponential draws -ln(u).
+
+    Each u is a number 1 - v / 2, halved as often as a fair coin falls on one side before the other; a polynomial gives the logarithm of the
+    number, for Spark's own is a call out of generated code.
+    """
+    total = F.col(halvings) * F.lit(math.log(2))
+    for v in map(F.col, parts):
+        log = F.lit(float(_LOG[0]))
+        for c in _LOG[1:]:
+            log = log * v + F.lit(float(c))
+        total = total + log * v
+    return total
 
 
 def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
@@ -38,7 +68,7 @@ def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
     is drawn for once, only its weights differ. A row with a null term stands for a text without terms; its signature
     is all zeros. A row of kind -1 is a note on its key, at most one with white space in it: it goes with the terms, so that the many rows
     between need no more columns, and comes back as ``note``. The samples are taken in sets of ``AT_ONCE // kinds`` and each draw is a column of its own projection:
-    generated code that is short enough for the JVM to compile, with every logarithm taken once.
+    generated code that is short enough for the JVM to compile, with one logarithm a draw.
     """
     step = max(1, AT_ONCE // kinds)
     each, texts = range(step), range(kinds)
@@ -50,16 +80,11 @@ def signatures(terms: DataFrame, keys: list[str], kinds: int) -> DataFrame:
     firsts = F.when(F.col("note").isNull(), F.array(*[F.lit(i) for i in range(0, SAMPLES, step)])).otherwise(F.array(F.lit(-1)))
     sets = hashed.select(*kept[:-1], F.explode(firsts).alias("first"))
 
-    def uniform(x: str, bit: int, width: int):
-        """A uniform draw from ``width`` bits, times 2^width."""
-        return F.shiftrightunsigned(x, bit).bitwiseAND(F.lit((1 << width) - 1)).cast("double") + F.lit(0.5)
-
-    def gamma(x: str, bit: int):
-        # the sum of two exponential draws is the logarithm of a product; 13 bits a draw
-        return F.lit(26 * math.log(2)) - F.ln(uniform(x, bit, 13) * uniform(x, bit + 13, 13))
-
-    x = sets.select(*kept, *[F.xxhash64("h", F.col("first") + F.lit(j)).alias(f"x{j}") for j in each])
-    drawn = x.select(*kept, *[c for j in each for c in (gamma(f"x{j}", 0).alias(f"r{j}"), F.ln(gamma(f"x{j}", 26)).alias(f"c{j}"), (F.shiftrightunsigned(f"x{j}", 52).cast("double") * F.lit(1 / 4096)).alias(f"b{j}"))])
+    x = sets.select(*kept, *[c for j in each for c in (F.xxhash64("h", F.col("first") + F.lit(j)).alias(f"x{j}"), F.xxhash64("h", F.col("first") + F.lit(SAMPLES + j)).alias(f"y{j}"))])
+    named = lambda of, j: [f"{of}{j}_{i}" for i in range(3)]
+    uniform = (F.shiftrightunsigned(f"x{j}", 52).cast("double") * F.lit(1 / 4096) for j in each)
+    tossed = x.select(*kept, *[c.alias(n) for j in each for of, bits in (("x", (16, 12)), ("y", (20, 22))) for c, n in zip(coins(f"{of}{j}", *bits), named(of, j))], *[c.alias(f"b{j}") for j, c in zip(each, uniform)])
+    drawn = tossed.select(*kept, *[c for j in each for c in (gamma(*named("x", j)).alias(f"r{j}"), F.ln(gamma(*named("y", j))).alias(f"c{j}"), f"b{j}")])
     timed = drawn.select(*keys, "note", "h", "first", *[c for j in each for c in (f"r{j}", f"c{j}", f"b{j}", *[F.floor(F.col(f"lw{k}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}_{k}") for k in texts])])
 
     def packed(j: int, k: int):

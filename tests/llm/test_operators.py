@@ -473,6 +473,17 @@ def test_pipeline_cuts_passages_of_little_over_fifty_words(spark):
         assert got[i] == t if i >= 9 else passages[i // 3] not in got[i] and len(got[i]) >= len(t) - len(passages[i // 3]) - 4
 
 
+@pytest.mark.parametrize("places, width", [(16, 12), (20, 22)])
+def test_gamma_draws(spark, places, width):
+    x = spark.range(200_000).select(F.xxhash64("id").alias("x"))
+    parts = x.select(*[c.alias(n) for c, n in zip(cws.coins("x", places, width), "abc")])
+    got = np.sort([r[0] for r in parts.select(cws.gamma("a", "b", "c")).collect()])
+    # the distribution function of Gamma(2, 1), and the bound of a test at one in 10,000
+    assert np.abs(1 - np.exp(-got) * (1 + got) - (np.arange(len(got)) + 0.5) / len(got)).max() < 2.23 / len(got) ** 0.5
+    v = (np.arange(4096) + 0.5) / 4096
+    assert np.abs(np.polyval(cws._LOG, v) * v / -np.log1p(-v / 2) - 1).max() < 2e-6
+
+
 def test_fingerprints_of_null_and_extreme_ids(spark):
     rows = [(None, "a b c d", 1), (None, "a b c e", 2), (-(1 << 63), "x y", 3), ((1 << 63) - 1, "u v w", 4), (3, None, 5)]
     got = cws.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string, note int")).collect()
