@@ -8,9 +8,11 @@ fingerprint is ``SEGMENTS`` x ``BITS`` bits wide, and the ball round a segment h
 2. Of a node's segments the ``ASKED`` surest are asked for; a small Hamming ball of ``PROBES`` values each is enumerated (up to
    ``FLIPS`` of the ``UNSURE`` least sure bits change, likeliest values first). Every node stands in a table under each segment.
    For a pair at exactly 0.8 some probe meets the other's entry with a probability of 0.985 by simulation, at 0.85 of 0.9995.
-3. An entry of up to ``CENTRES`` nodes is met as it stands, one of more through the node that stands among most others in all its
-   entries, and a node meets the ``CENTRES`` foremost of those. So a group of any size costs rows in proportion to its nodes. Large entries come first; of the others, and of what large ones leave
-   open, only pairs that lie in different components by then are compared, all of them.
+3. All nodes that meet in an entry are compared, unless they lie in one component by then. Only the order differs: of an entry with
+   more than ``CENTRES`` nodes the one that stands among most others in all its entries comes first, and a node starts with the
+   ``CENTRES`` foremost of those. This joins most of a large group at a cost in proportion to its nodes. Then every node that asks for
+   an entry or stands in it meets all others there, large entries and small, where their components differ. Strangers near a large
+   group are so compared with all of it that they meet: that part grows with their product.
 4. Complete distances decide, where they can: the similarity that the distance stands for has a standard error of 0.024. Pairs
    within ``DOUBT`` of the threshold are decided by the exact similarity of their texts.
 5. Of each group the row with the least id stays (null ids last, then by a hash of the row, then any one of equal rows).
@@ -39,6 +41,8 @@ LANES, BITS = 18, 24
 SEGMENTS = LANES * 64 // BITS
 ASKED, PROBES, UNSURE, FLIPS = 24, 6, 6, 3
 CENTRES = 3
+#: Nodes of an entry that one task meets at once.
+BLOCK = 4096
 DOUBT = 0.08
 BATCH_BYTES = 2 << 20
 
@@ -175,7 +179,12 @@ def _linked(df: DataFrame, marks: DataFrame, pairs: DataFrame, nodes: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta", BATCH_BYTES):
-            same = [jaccard(shingles(x or "", words), shingles(y or "", words)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            sets: dict[int, np.ndarray] = {}  # of this slice: a node comes in many of its pairs
+            for k, t in ((0, 2), (1, 3)):
+                for i, node in enumerate(b.column(k).to_pylist()):
+                    if node not in sets:
+                        sets[node] = shingles(b.column(t)[i].as_py() or "", words)
+            same = [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     side = lambda k: read.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"))
@@ -189,28 +198,56 @@ def groups(df: DataFrame, marks: DataFrame, text_col: str = "text", words: int =
     nodes = write_shared(marks.groupBy("node").agg(first).select("node", "one.r1", "one.r2", "one.segments"), "near-nodes")
     centres, shared = _centres(nodes)
     asked = marks.groupBy("node").agg(F.min("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    # of the centres of large entries a node takes the most famous ones: at most ASKED x PROBES come together here
-    of_large = F.slice(F.sort_array(F.collect_set(F.when(F.col("fame").isNotNull(), F.struct("fame", "centre"))), asc=False), 1, CENTRES)["centre"]
+    # of the centres of large entries a node takes the most famous ones first; the entries themselves are kept for what these leave open
+    famous = F.slice(F.sort_array(F.collect_set(F.when(F.col("fame").isNotNull(), F.struct("fame", "centre"))), asc=False), 1, CENTRES)["centre"]
+    of_large = F.collect_set(F.when(F.col("fame").isNotNull(), F.col("key")))
     of_small = F.collect_set(F.when(F.col("fame").isNull(), F.col("centre")))
-    met = asked.join(centres, "key").where("node <> centre").groupBy("node").agg(of_small.alias("small"), of_large.alias("large"))
+    met = asked.join(centres, "key").where("node <> centre").groupBy("node").agg(of_small.alias("small"), famous.alias("first"), of_large.alias("large"))
     met = write_shared(met, "near-met")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = met.select("node", F.explode("large").alias("centre")).select(*ordered("node", "centre")).distinct()
+    stars = met.select("node", F.explode("first").alias("centre")).select(*ordered("node", "centre")).distinct()
     links = _linked(df, marks, stars, nodes, text_col, words, similarity)
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # nodes that lie in one component by now need no comparison: what is left of small entries, and of large ones
-    placed = shared.where(F.col("n") > CENTRES).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = write_shared(placed.join(split, "key").join(nodes.select("node", "segments"), "node").select("key", "node", "component", "segments"), "near-rest")
-    # the distance is part of the join's condition: pairs that are far apart never become rows
-    one, two = (rest.select("key", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("segments").alias(f"s{k}")) for k in "ab")
-    far = LANES * 64 * distance_of(max(0.0, similarity - DOUBT))
-    many = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differ("sa", "sb") <= far)).select("a", "b")
+    large = shared.where(F.col("n") > CENTRES).drop("n")
+    many = _in_large(met.select("node", F.explode("large").alias("key")), large, found, nodes, similarity)
     few = _apart(met.select("node", "small"), found, nodes, similarity)
     links = links.unionAll(_linked(df, marks, few.unionAll(many).distinct(), nodes, text_col, words, similarity))
     return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def _in_large(asked: DataFrame, large: DataFrame, found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all nodes that meet in large entries, lie in different components and may be near.
+
+    ``asked`` (key, node) are the large entries that a node asks for, ``large`` those where it stands; both meet all that stand there.
+    The main component of an entry, that of most of its nodes, is not compared with itself.
+    """
+    placed = lambda x: x.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    standing = write_shared(placed(large), "near-standing")
+    each = standing.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = each.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    mains = mains.select("key", "main", "parts", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    of_main = F.col("component") == F.col("main")
+    # askers of the main component meet the others' nodes (side 1), all other askers meet all (side 0); many nodes are dealt in blocks
+    every = write_shared(placed(asked.select("key", "node").unionAll(large.select("key", "node")).distinct()), "near-askers")
+    askers = every.join(mains, "key").where(~of_main | (F.col("parts") > 1)).select("key", "node", "component", of_main.cast("int").alias("side"), "blocks", "main")
+    wanted = askers.groupBy("key").agg(F.first("blocks").alias("blocks"), F.first("main").alias("main"))
+    sides = F.when(of_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    there = standing.join(wanted, "key").select("key", "node", "component", F.pmod("node", "blocks").alias("block"), F.explode(sides).alias("side"))
+    askers = askers.select("key", "node", "component", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    note = write_shared(every.groupBy("node").agg(F.collect_list("key").alias("asks")).join(nodes.select("node", "segments"), "node"), "near-notes")
+    noted = lambda x, k: x.join(note, "node").select("key", "side", "block", F.struct("node", "component", "segments", "asks").alias(k))
+    stands = lambda x, key: x["segments"][F.shiftright(key, BITS).cast("int")] == key.bitwiseAND((1 << BITS) - 1).cast("int")
+    far = LANES * 64 * distance_of(max(0.0, similarity - DOUBT))
+    one, two = F.col("one"), F.col("two")
+    # tests are part of the join's condition: pairs that are far apart never become rows, nor does a pair that meets again
+    near = (one["component"] != two["component"]) & (_differ("one.segments", "two.segments") <= far)
+    before = F.exists(one["asks"], lambda k: (k < F.col("key")) & stands(two, k))
+    turned = (one["node"] > two["node"]) & F.exists(two["asks"], lambda k: stands(one, k))
+    pairs = noted(askers, "one").join(noted(there, "two"), ["key", "side", "block"]).where(near & ~before & ~turned)
+    return pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+
+
 def _apart(met: DataFrame, found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of (node, small): pairs of a node and a centre that lie in different components and may be near.
 

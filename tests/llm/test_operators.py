@@ -533,3 +533,28 @@ def test_vectors_of_doubles_are_compared_in_double_precision(spark):
     rows = [(0, [a, 0.0]), (1, [a, b * (1 - 1e-12)]), (2, [a, -b * (1 + 1e-12)]), (3, [0.0, -1.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in flat_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3)}
+
+
+@pytest.mark.parametrize("entries", [1, simhash_groups.CENTRES + 2])
+def test_all_nodes_of_large_entries_are_met(spark, monkeypatch, entries):
+    monkeypatch.setattr(simhash_groups, "BLOCK", 4)
+    draw = np.random.default_rng(entries)
+    fingerprint = lambda: draw.integers(0, 1 << simhash_groups.BITS, simhash_groups.SEGMENTS)
+    one = fingerprint()
+    other = one ^ 1  # near, and no segment is equal
+    nodes = {1: one, 2: other}
+    # strangers share segments with the first: more of them the earlier the segment, so that they are its large entries' centres
+    for s in range(entries):
+        for _ in range(4 + 2 * (entries - s)):
+            nodes[len(nodes) + 1] = np.where(np.arange(simhash_groups.SEGMENTS) == s, one, fingerprint())
+    last = entries - 1
+    own = lambda x: [int(s << simhash_groups.BITS) + int(v) for s, v in enumerate(x)]
+    # the second asks for large entries without standing in them; the first stands in one (the last) among strangers
+    keys = {n: own(x) for n, x in nodes.items()} | {2: own(one)[:entries]}
+    for s in range(last):
+        nodes[1] = np.where(np.arange(simhash_groups.SEGMENTS) == s, other, nodes[1])
+    keys[1] = own(fingerprint())
+    rows = [(n, n, n, n, x.tolist(), keys[n]) for n, x in nodes.items()]
+    marks = spark.createDataFrame(rows, "r1 long, r2 long, id long, node long, segments array<int>, keys array<int>")
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert by_id(simhash_groups.groups(df, marks), "node", "component") == [(1, 1), (2, 1)]
