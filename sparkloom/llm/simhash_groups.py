@@ -11,8 +11,11 @@ fingerprint is ``SEGMENTS`` x ``BITS`` bits wide, and the ball round a segment h
 3. All nodes that meet in an entry are compared, unless they lie in one component by then. Only the order differs: of an entry with
    more than ``CENTRES`` nodes the one that stands among most others in all its entries comes first, and a node starts with the
    ``CENTRES`` foremost of those. This joins most of a large group at a cost in proportion to its nodes. Then every node that asks for
-   an entry or stands in it meets all others there, large entries and small, where their components differ. Strangers near a large
-   group are so compared with all of it that they meet: that part grows with their product.
+   an entry or stands in it meets all others there, large entries and small, where their components differ.
+   A component of ``CROWD`` nodes or more is met as one: by the fingerprint of its most linked node (the centre) and the largest
+   distance of a member from it, so that one distance settles a stranger. A node that this leaves near a crowd is held against all
+   its members by their texts. Of texts only the shingles in and out of the centre's count: two that share none of the latter have at
+   most as many in common as the lesser one has of the former. Few members remain by that, and the first link ends the search.
 4. Complete distances decide, where they can: the similarity that the distance stands for has a standard error of 0.024. Pairs
    within ``DOUBT`` of the threshold are decided by the exact similarity of their texts.
 5. Of each group the row with the least id stays (null ids last, then by a hash of the row, then any one of equal rows).
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,10 @@ LANES, BITS = 18, 24
 SEGMENTS = LANES * 64 // BITS
 ASKED, PROBES, UNSURE, FLIPS = 24, 6, 6, 3
 CENTRES = 3
-#: Nodes of an entry that one task meets at once.
-BLOCK = 4096
+#: Nodes of a component that are met as one.
+CROWD = 8
+#: Nodes of an entry that one task meets at once, and shingles of the members of a crowd.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 DOUBT = 0.08
 BATCH_BYTES = 2 << 20
 
@@ -162,6 +168,14 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _differ("sa", "sb").alias("differ"))
 
 
+def _texts(df: DataFrame, asked: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the nodes asked for, one row each, written."""
+    rows = asked.join(nodes.select("node", "r1", "r2"), "node")
+    row = [*df.columns, *[F.col(c).isNull() for c in df.columns]]
+    named = df.select(F.xxhash64(*row).alias("r1"), F.xxhash64(F.lit(SEED), *row).alias("r2"), F.col(text_col).alias("text"))
+    return write_shared(named.join(rows, ["r1", "r2"]).groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+
+
 def _linked(df: DataFrame, marks: DataFrame, pairs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """(a, b) of the pairs that are near-copies, written."""
     total = LANES * 64
@@ -170,12 +184,7 @@ def _linked(df: DataFrame, marks: DataFrame, pairs: DataFrame, nodes: DataFrame,
     near = write_shared(_distances(pairs, nodes).where(F.col("differ") <= far), "near-pairs")
     doubted = near.where(F.col("differ") > close).select("a", "b")
     asked = doubted.select(F.col("a").alias("node")).unionAll(doubted.select("b")).distinct()
-    # the texts of doubted nodes, one row each
-    rows = asked.join(nodes.select("node", "r1", "r2"), "node")
-    row = [*df.columns, *[F.col(c).isNull() for c in df.columns]]
-    named = df.select(F.xxhash64(*row).alias("r1"), F.xxhash64(F.lit(SEED), *row).alias("r2"), F.col(text_col).alias("text"))
-    read = named.join(rows, ["r1", "r2"]).groupBy("node").agg(F.min("text").alias("text"))
-    read = write_shared(read, "near-texts")
+    read = _texts(df, asked, nodes, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta", BATCH_BYTES):
@@ -209,61 +218,164 @@ def groups(df: DataFrame, marks: DataFrame, text_col: str = "text", words: int =
     links = _linked(df, marks, stars, nodes, text_col, words, similarity)
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # nodes that lie in one component by now need no comparison: what is left of small entries, and of large ones
-    large = shared.where(F.col("n") > CENTRES).drop("n")
-    many = _in_large(met.select("node", F.explode("large").alias("key")), large, found, nodes, similarity)
-    few = _apart(met.select("node", "small"), found, nodes, similarity)
-    links = links.unionAll(_linked(df, marks, few.unionAll(many).distinct(), nodes, text_col, words, similarity))
+    units, faces = _units(found, links, nodes)
+    placed = lambda x: x.join(units, "node", "left").withColumns({"unit": F.coalesce("unit", "node"), "component": F.coalesce("component", "node")})
+    met = placed(met)
+    standing = placed(shared.where(F.col("n") > CENTRES)).select("key", "unit").distinct()
+    many = _in_large(met.select(F.explode("large").alias("key"), "unit"), standing, faces, similarity)
+    few = _apart(met.select("unit", "component", F.explode("small").alias("node")), units, faces, similarity)
+    pairs = write_shared(few.unionAll(many).distinct(), "near-met-units")
+    links = links.unionAll(_linked(df, marks, pairs.where("not crowd_a and not crowd_b").select("a", "b"), nodes, text_col, words, similarity))
+    links = links.unionAll(_joining(df, pairs, units, nodes, text_col, words, similarity))
     return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _in_large(asked: DataFrame, large: DataFrame, found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all nodes that meet in large entries, lie in different components and may be near.
+def _units(found: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, faces): component and unit of the nodes in components; component, segments, radius and crowd of every unit.
 
-    ``asked`` (key, node) are the large entries that a node asks for, ``large`` those where it stands; both meet all that stand there.
-    The main component of an entry, that of most of its nodes, is not compared with itself.
+    The unit of a node is the most linked node of its component, if that is a crowd, else the node itself. The radius is the largest
+    distance of a crowd's member from its unit: nothing is nearer to a member than to the unit, less the radius.
     """
-    placed = lambda x: x.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    standing = write_shared(placed(large), "near-standing")
-    each = standing.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = each.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    mains = mains.select("key", "main", "parts", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    of_main = F.col("component") == F.col("main")
-    # askers of the main component meet the others' nodes (side 1), all other askers meet all (side 0); many nodes are dealt in blocks
-    every = write_shared(placed(asked.select("key", "node").unionAll(large.select("key", "node")).distinct()), "near-askers")
-    askers = every.join(mains, "key").where(~of_main | (F.col("parts") > 1)).select("key", "node", "component", of_main.cast("int").alias("side"), "blocks", "main")
-    wanted = askers.groupBy("key").agg(F.first("blocks").alias("blocks"), F.first("main").alias("main"))
-    sides = F.when(of_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    there = standing.join(wanted, "key").select("key", "node", "component", F.pmod("node", "blocks").alias("block"), F.explode(sides).alias("side"))
-    askers = askers.select("key", "node", "component", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    note = write_shared(every.groupBy("node").agg(F.collect_list("key").alias("asks")).join(nodes.select("node", "segments"), "node"), "near-notes")
-    noted = lambda x, k: x.join(note, "node").select("key", "side", "block", F.struct("node", "component", "segments", "asks").alias(k))
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    crowds = found.join(degree, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node"))["node"].alias("centre")).where(F.col("n") >= CROWD)
+    units = write_shared(found.join(crowds.select("component", "centre", "n"), "component", "left").select("node", "component", F.coalesce("centre", "node").alias("unit"), "n"), "near-units")
+    away = _distances(units.where("n is not null").select(F.col("node").alias("a"), F.col("unit").alias("b")), nodes)
+    radius = away.groupBy("b").agg(F.max("differ").alias("radius")).withColumnRenamed("b", "unit")
+    own = nodes.select("node", "segments").join(units, "node", "left").where("unit is null or unit = node")
+    faces = own.select(F.col("node").alias("unit"), F.coalesce("component", "node").alias("component"), "segments", F.col("n").isNotNull().alias("crowd"))
+    return units, write_shared(faces.join(radius, "unit", "left").withColumn("radius", F.coalesce("radius", F.lit(0))), "near-faces")
+
+
+def _in_large(asked: DataFrame, standing: DataFrame, faces: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, crowd_a, crowd_b) of all units that meet in large entries, lie in different components and may be near.
+
+    ``asked`` (key, unit) are the large entries that a unit asks for, ``standing`` those where it stands; both meet all that stand there.
+    """
+    standing = write_shared(standing, "near-standing")
+    every = write_shared(asked.select("key", "unit").unionAll(standing).distinct(), "near-askers")
+    # what a unit asks for tells where a pair has met before; a crowd's would be long
+    note = every.join(faces, "unit").groupBy("unit").agg(F.collect_list(F.when(~F.col("crowd"), F.col("key"))).alias("asks"))
+    note = write_shared(note.join(faces, "unit"), "near-notes")
+    blocks = standing.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    there = standing.join(blocks, "key").select("key", "unit", F.pmod("unit", "blocks").alias("block"))
+    askers = every.join(blocks, "key").select("key", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    noted = lambda x, k: x.join(note, "unit").select("key", "block", F.struct("unit", "component", "segments", "radius", "crowd", "asks").alias(k))
     stands = lambda x, key: x["segments"][F.shiftright(key, BITS).cast("int")] == key.bitwiseAND((1 << BITS) - 1).cast("int")
     far = LANES * 64 * distance_of(max(0.0, similarity - DOUBT))
     one, two = F.col("one"), F.col("two")
     # tests are part of the join's condition: pairs that are far apart never become rows, nor does a pair that meets again
-    near = (one["component"] != two["component"]) & (_differ("one.segments", "two.segments") <= far)
+    near = (one["component"] != two["component"]) & (_differ("one.segments", "two.segments") - one["radius"] - two["radius"] <= far)
     before = F.exists(one["asks"], lambda k: (k < F.col("key")) & stands(two, k))
-    turned = (one["node"] > two["node"]) & F.exists(two["asks"], lambda k: stands(one, k))
-    pairs = noted(askers, "one").join(noted(there, "two"), ["key", "side", "block"]).where(near & ~before & ~turned)
-    return pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+    turned = (one["unit"] > two["unit"]) & F.exists(two["asks"], lambda k: stands(one, k))
+    pairs = noted(askers, "one").join(noted(there, "two"), ["key", "block"]).where(near & ~before & ~turned)
+    first = one["unit"] < two["unit"]
+    return pairs.select(F.least("one.unit", "two.unit").alias("a"), F.greatest("one.unit", "two.unit").alias("b"), F.when(first, one["crowd"]).otherwise(two["crowd"]).alias("crowd_a"), F.when(first, two["crowd"]).otherwise(one["crowd"]).alias("crowd_b"))
+
+
+def _apart(met: DataFrame, units: DataFrame, faces: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, crowd_a, crowd_b) of (unit, component, node): pairs of a unit and the unit of a node that lie in different components and may be near."""
+    own = met.distinct().withColumnsRenamed({"unit": "x", "component": "cx"}).join(units, "node", "left")
+    own = own.where(F.col("cx") != F.coalesce("component", "node")).select("x", F.coalesce("unit", "node").alias("y"))
+    own = write_shared(own.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-apart")
+    side = lambda k: faces.select(F.col("unit").alias(k), F.col("segments").alias(f"s{k}"), F.col("radius").alias(f"r{k}"), F.col("crowd").alias(f"crowd_{k}"))
+    far = LANES * 64 * distance_of(max(0.0, similarity - DOUBT))
+    near = own.join(side("a"), "a").join(side("b"), "b").where(_differ("sa", "sb") - F.col("ra") - F.col("rb") <= far)
+    return near.select("a", "b", "crowd_a", "crowd_b")
 
 
-def _apart(met: DataFrame, found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of (node, small): pairs of a node and a centre that lie in different components and may be near.
+def _joining(df: DataFrame, pairs: DataFrame, units: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(a, b) of (a, b, crowd_a, crowd_b): links of nodes with the crowds they are near, written.
 
-    A centre is at least as far from a node as from the first node of its component, less the distance between these two: one distance
-    settles all nodes of a large group that meet the same stranger.
+    Where a node and members of a crowd are near-copies, one of these pairs is returned for each block of members: they are one component already.
     """
-    radius = _distances(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), nodes)
-    radius = write_shared(radius.select(F.col("a").alias("node"), F.col("b").alias("component"), F.col("differ").alias("radius")), "near-radius")
-    own = met.join(radius, "node", "left").select("node", F.coalesce("component", "node").alias("a"), F.coalesce("radius", F.lit(0)).alias("radius"), F.explode("small").alias("b")).where("a <> b")
-    own = write_shared(own, "near-apart")
-    between = _distances(own.select("a", "b").distinct(), nodes)
-    far = LANES * 64 * distance_of(max(0.0, similarity - DOUBT))
-    near = own.join(between, ["a", "b"]).where(F.col("differ") - F.col("radius") <= far).select("node", F.col("a").alias("component"), F.col("b").alias("centre"))
-    of_centre = radius.select(F.col("node").alias("centre"), F.col("component").alias("other"))
-    apart = near.join(of_centre, "centre", "left").where(F.col("component") != F.coalesce("other", "centre"))
-    return apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    members = units.where("n is not null").select("unit", "node", "n")
+    sizes = members.select("unit", "n").distinct()
+    size = lambda k: sizes.select(F.col("unit").alias(k), F.col("n").alias(f"n{k}"))
+    one = pairs.where("crowd_a or crowd_b").join(size("a"), "a", "left").join(size("b"), "b", "left")
+    # the larger one is the crowd, the other one's nodes ask
+    turned = F.coalesce("nb", F.lit(0)) > F.coalesce("na", F.lit(0))
+    one = write_shared(one.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("unit"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-crowds")
+    of_other = members.select(F.col("unit").alias("other"), "node")
+    asked = one.join(of_other, "other", "left").select("unit", F.coalesce("node", "other").alias("node"), F.lit(1).alias("side"))
+    there = members.join(one.select("unit").distinct(), "unit").select("unit", "node", F.lit(0).alias("side"))
+    rows = write_shared(asked.unionAll(there), "near-sides")
+    read = _texts(df, rows.select("node").distinct(), nodes, text_col)
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, np.zeros(0, np.uint64)
+        for b in slices(batches, "text", BATCH_BYTES):
+            n, inside, own = [], [], []
+            for i, unit in enumerate(b.column(0).to_pylist()):
+                if unit != last:
+                    last, centre = unit, shingles(b.column(4)[i].as_py() or "", words)
+                x = shingles(b.column(3)[i].as_py() or "", words)
+                at = np.searchsorted(centre, x)
+                same = np.zeros(len(x), bool)
+                same[at < len(centre)] = centre[at[at < len(centre)]] == x[at < len(centre)]
+                n.append(len(x))
+                inside.append(at[same].astype(np.int32))
+                own.append(x[~same].view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (inside, own)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32()), *lists], names=["unit", "node", "side", "n", "inside", "own"])
+
+    both = rows.join(read, "node").join(read.select(F.col("node").alias("unit"), F.col("text").alias("centre")), "unit")
+    held = both.select("unit", "node", "side", "text", "centre").mapInArrow(against, "unit long, node long, side int, n int, inside array<int>, own array<long>")
+    held = write_shared(held, "near-held")
+    # members and askers are dealt in blocks, and each block of one meets each of the other
+    part = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == side, F.col("n"))) / BLOCK_SHINGLES)).cast("long")
+    blocks = held.groupBy("unit").agg(part(0).alias("members"), part(1).alias("askers"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mine = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)))
+    member = F.col("side") == 0
+    dealt = held.join(blocks, "unit").withColumn("x", F.explode(F.when(member, mine("members")).otherwise(every("members"))))
+    dealt = dealt.withColumn("y", F.explode(F.when(member, every("askers")).otherwise(mine("askers"))))
+
+    def run(t: pa.Table) -> pa.Table:
+        found = first_links(t.filter(pc.equal(t["side"], 1)), t.filter(pc.equal(t["side"], 0)), similarity)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return write_shared(dealt.select("unit", "x", "y", "node", "side", "n", "inside", "own").groupBy("unit", "x", "y").applyInArrow(run, "a long, b long"), "near-links")
+
+
+def first_links(askers: pa.Table, members: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """(asker, member) for each asker that is a near-copy of a member, with one such member.
+
+    Rows have node, n, inside and own: the size of a node's set, the places of its shingles in the centre's set, and its other shingles.
+    """
+    if not askers.num_rows or not members.num_rows:
+        return []
+    whole = lambda t, c: t[c].combine_chunks()
+    lists = lambda t, c: (whole(t, c).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(whole(t, c)).to_numpy(zero_copy_only=False))]))
+    inside, at = lists(members, "inside")
+    own, of_own = lists(members, "own")
+    owner = np.repeat(np.arange(members.num_rows), np.diff(of_own))
+    order = np.argsort(own, kind="stable")
+    own, owner = own[order], owner[order]
+    n, n_inside = whole(members, "n").to_numpy(), np.diff(at)
+    nodes = whole(members, "node").to_numpy()
+    asked_inside, asked_at = lists(askers, "inside")
+    asked_own, asked_of = lists(askers, "own")
+    out = []
+    flags = np.zeros(1 + max([0, *[int(x.max()) for x in (inside, asked_inside) if len(x)]]), bool)
+    for i, (node, size) in enumerate(zip(whole(askers, "node").to_pylist(), whole(askers, "n").to_pylist())):
+        mine = asked_own[asked_of[i] : asked_of[i + 1]]
+        low, high = np.searchsorted(own, mine, "left"), np.searchsorted(own, mine, "right")
+        met = high > low
+        shared = np.zeros(len(n), np.int64)
+        if met.any():
+            shared += np.bincount(np.concatenate([owner[x:y] for x, y in zip(low[met].tolist(), high[met].tolist())]), minlength=len(n))
+        places = asked_inside[asked_at[i] : asked_at[i + 1]]
+        # no more can be in common than this, against what a near-copy must have in common
+        spare = np.minimum(n_inside, len(places)) + shared - (size + n) * (similarity / (1 + similarity))
+        possible = np.flatnonzero(spare >= -1e-6)
+        flags[places] = True
+        for k in possible[np.argsort(-spare[possible], kind="stable")].tolist():
+            common = int(np.count_nonzero(flags[inside[at[k] : at[k + 1]]])) + int(shared[k])
+            if common / max(1, size + int(n[k]) - common) >= similarity:
+                out.append((node, int(nodes[k])))
+                break
+        flags[places] = False
+    return out
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

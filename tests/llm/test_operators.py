@@ -558,3 +558,62 @@ def test_all_nodes_of_large_entries_are_met(spark, monkeypatch, entries):
     marks = spark.createDataFrame(rows, "r1 long, r2 long, id long, node long, segments array<int>, keys array<int>")
     df = spark.createDataFrame([], "doc_id long, text string")
     assert by_id(simhash_groups.groups(df, marks), "node", "component") == [(1, 1), (2, 1)]
+
+
+def changed(words, n, own, draw):
+    """``words`` with n of them, over a shingle apart, in other words."""
+    out = list(words)
+    for k in draw.sample(range(5, len(words) - 5, 6), n):
+        out[k] = f"{own}x{k}"
+    return out
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 1000])
+def test_texts_round_a_large_group_meet_it_as_one(spark, monkeypatch, shingles):
+    monkeypatch.setattr(simhash_groups, "BLOCK_SHINGLES", shingles)
+    draw, made, write = random.Random(7), [], simhash_groups.write_shared
+
+    def counted(df, name):
+        out = write(df, name)
+        made.append(out.count() if name in ("near-pairs", "near-apart", "near-crowds") else 0)
+        return out
+
+    monkeypatch.setattr(simhash_groups, "write_shared", counted)
+    words = [f"w{k}" for k in range(200)]
+    texts = [words, *[changed(words, 1, f"m{i}", draw) for i in range(60)]]
+    # near no member, but hardly further than a near-copy
+    texts += [changed(words, 5, f"f{i}", draw) for i in range(20)]
+    # near one member only
+    one = [*words[:2], "last", *words[3:]]
+    texts += [one, changed(one, 4, "g", draw)]
+    near = [[shingle_jaccard(" ".join(x), " ".join(y)) >= 0.8 for y in texts] for x in texts]
+    assert [sum(x) for x in near[61:81]] == [1] * 20 and sum(near[82]) == 2
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_groups.keep_one(df).collect()} == {0, *range(61, 81)}
+    assert sum(made) < 10 * len(texts)
+
+
+def test_nodes_join_crowds_as_brute_force_has_it(spark, monkeypatch):
+    monkeypatch.setattr(simhash_groups, "BLOCK_SHINGLES", 2000)
+    draw = random.Random(3)
+    centres = [[f"a{k}" for k in range(150)]]
+    centres.append(changed(centres[0], 6, "b", draw))
+    crowds = [[c, *[changed(c, draw.randint(1, 3), f"{j}m{i}", draw)[: draw.randint(135, 150)] for i in range(30 - 5 * j)]] for j, c in enumerate(centres)]
+    askers = [changed(draw.choice(crowds[0]), draw.randint(1, 4), f"q{i}", draw)[: draw.randint(125, 150)] for i in range(60)] + [[], ["a1"]]
+    rows = [*[(x, j) for j, c in enumerate(crowds) for x in c], *[(x, None) for x in askers]]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    marks = simhash_groups.marked(df)
+    node = {r["id"]: r["node"] for r in marks.collect()}
+    assert len(set(node.values())) == len(rows)
+    first = {0: node[0], 1: node[len(crowds[0])]}
+    units = spark.createDataFrame([(node[i], first[j], first[j], len(crowds[j])) for i, (_, j) in enumerate(rows) if j is not None], "node long, component long, unit long, n long")
+    met = [(first[0], first[1], True, True), *[(node[i], first[0], False, True) for i, (_, j) in enumerate(rows) if j is None]]
+    met = [(a, b, x, y) if a < b else (b, a, y, x) for a, b, x, y in met]
+    pairs = spark.createDataFrame(met, "a long, b long, crowd_a boolean, crowd_b boolean")
+    text = {node[i]: " ".join(x) for i, (x, _) in enumerate(rows)}
+    ask = [node[i] for i, (_, j) in enumerate(rows) if j != 0]
+    members = [node[i] for i, (_, j) in enumerate(rows) if j == 0]
+    want = {a for a in ask if any(shingle_jaccard(text[a], text[b]) >= 0.8 for b in members)}
+    got = [(r["a"], r["b"]) for r in simhash_groups._joining(df, pairs, units, marks, "text", 5, 0.8).collect()]
+    assert {a for a, _ in got} == want and 10 < len(want) < len(ask) - 10
+    assert all(b in members and shingle_jaccard(text[a], text[b]) >= 0.8 for a, b in got)
